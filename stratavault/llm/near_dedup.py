@@ -21,10 +21,10 @@ REGISTERS = BANDS * ROWS
 BASE = 1.001
 LIMIT = 65535  # registers are truncated to 0..LIMIT
 RATE = 20.0
-#: Pairs whose likelihood is greatest at a similarity this far below the threshold (7 standard deviations) are not compared exactly.
-MARGIN = 0.18
-#: Rounds of comparisons with one pivot go on while more pairs than this are apart in some bucket, for MOST_STARS rounds; then blocks are compared, which covers all.
-BLOCKWISE, MOST_STARS = 4_000_000, 4
+#: Pairs whose likelihood is greatest at a similarity this far below the threshold (almost 5 standard deviations) are not compared exactly.
+MARGIN = 0.12
+#: Rounds of comparisons with one pivot go on while buckets hold more pairs apart than this for each of their rows, for MOST_STARS rounds at most; then blocks are compared, which covers all.
+PAIRS_A_ROW, MOST_STARS = 16, 2
 EMPTY = np.empty(0, np.uint64)
 
 
@@ -204,41 +204,59 @@ def _linked(width: int, percent: int):
     return run
 
 
-def _across(floor: float):
-    """Pairs of members of different components within each run whose sketches promise enough."""
+def _short_sets(width: int):
+    """The sets with 32 bits a shingle, for comparing many at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                short = [np.unique((s >> np.uint64(32)).astype("<u4")).tobytes() for s in shingle_sets(part.column(1), width)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(short, pa.binary())], names=["cid", "short"])
+
+    return run
+
+
+def _across(floor: float, percent: int):
+    """Pairs of members of different components within each run that are linked, to judge by 32 bits a shingle.
+
+    A pair is looked at in the first band in which it meets.  Chance agreements of
+    32 bits can only add to what two sets share, equal bits within a set take away
+    a few of its shingles; one shingle in a thousand is allowed for that.
+    """
 
     def work(run: pa.Table) -> list[tuple]:
-        cid = run.column("cid").to_numpy()
-        comp = run.column("component").to_numpy()
+        cid, comp = run.column("cid").to_numpy(), run.column("component").to_numpy()
         if (comp == comp[0]).all():
             return []
-        side = run.column("side").to_numpy()
-        n = run.column("n_shingles").to_numpy()
-        raw = run.column("regs").to_pylist()
-        regs = np.frombuffer(b"".join(raw), "<u2").reshape(-1, REGISTERS)
+        side, n = run.column("side").to_numpy(), run.column("n_shingles").to_numpy()
+        band = run.column("t")[0].as_py()
+        regs = np.frombuffer(b"".join(run.column("regs").to_pylist()), "<u2").reshape(-1, REGISTERS)
+        sets = [np.frombuffer(x, "<u4") for x in run.column("short").to_pylist()]
         out: list[tuple] = []
         for i in range(len(cid)):
-            js = np.flatnonzero((comp != comp[i]) & (cid > cid[i]) & ((side != side[i]) | (side == -1)) & (np.minimum(n, n[i]) >= floor * np.maximum(n, n[i])))
-            if len(js):
-                js = js[(regs[js] == regs[i]).mean(1) >= floor - 0.05]
-                out += [(int(cid[i]), int(cid[j]), raw[i], raw[j], int(n[i]), int(n[j])) for j in js]
+            js = np.flatnonzero((comp != comp[i]) & (cid > cid[i]) & ((side != side[i]) | (side == -1)) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+            if not len(js):
+                continue
+            same = regs[js] == regs[i]
+            first = same.reshape(len(js), BANDS, ROWS).all(2).argmax(1) == band
+            js = js[first & (same.mean(1) >= floor)]
+            if not len(js):
+                continue
+            sizes = np.array([len(sets[j]) for j in js])
+            every = np.concatenate([sets[j] for j in js])
+            at = np.minimum(np.searchsorted(sets[i], every), len(sets[i]) - 1)
+            common = np.add.reduceat((sets[i][at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+            slack = 1 + np.maximum(n[js], n[i]) // 1000
+            linked = 100 * (common + slack) >= percent * (n[js] + n[i] - common - slack)
+            out += [(int(cid[i]), int(cid[j])) for j in js[linked]]
         return out
 
-    def judged(rows: list[tuple]) -> pa.RecordBatch:
-        a, b, ra, rb, na, nb = zip(*rows, strict=True)
-        ra, rb = (np.frombuffer(b"".join(x), "<u2").reshape(-1, REGISTERS) for x in (ra, rb))
-        keep = likeliest(ra, rb, np.array(na, float), np.array(nb, float)) >= floor
-        return pa.RecordBatch.from_arrays([pa.array(np.array(a)[keep]), pa.array(np.array(b)[keep])], names=["a", "b"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
         for rows in each_run(batches, "run", work):
-            held += rows
-            if len(held) >= 2000:
-                yield judged(held)
-                held = []
-        if held:
-            yield judged(held)
+            if rows:
+                a, b = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -252,8 +270,8 @@ def near_duplicates(
     component_id is the smallest id reachable.  Equal sets are one class.  Classes
     that share a band of registers are candidates; a bucket is compared with one
     pivot a round (linear in the bucket), links merge components, and at last what
-    is still apart in a bucket is compared block by block by its sketches.  All
-    candidates pass the likelihood, then the exact sets.
+    is still apart in a bucket is compared block by block by registers and short sets, so
+    that only links come out.  All pairs then pass the likelihood and the exact sets.
 
     A null or empty text has no shingles and is linked with nothing; a null id is a
     row of its own (component_id null, kept); rows that repeat an id share its
@@ -269,7 +287,7 @@ def near_duplicates(
     ws.settle()
 
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), (i * (2 * ROWS) + 1).cast("int"), F.lit(2 * ROWS))))
-    banded = reps.select("cid", F.explode(band).alias("key"))
+    banded = reps.select("cid", F.posexplode(band).alias("t", "key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("g")).where("g > 1").select("key")
     members = ws.put(banded.join(shared, "key"), "members")
 
@@ -297,19 +315,22 @@ def near_duplicates(
     at = members.withColumn("component", F.col("cid"))
     turn = 0
     while True:
-        cross = at.groupBy("key", "component").count().groupBy("key").agg((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))).alias("x")).agg(F.sum("x")).first()[0]
+        per_bucket = at.groupBy("key", "component").count().groupBy("key").agg(F.sum("count").alias("rows"), ((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))) / 2).alias("pairs"))
+        cross, rows = per_bucket.agg(F.sum("pairs"), F.sum("rows")).first()
         if not cross:
             break
-        last = cross < BLOCKWISE or turn >= MOST_STARS
+        last = cross <= PAIRS_A_ROW * rows or turn >= MOST_STARS
         if not last or not turn:
             order = F.struct(F.xxhash64("cid", F.lit(turn)), F.col("cid"), F.col("component"))
             pivot = at.groupBy("key").agg(F.min(order).alias("p")).select("key", F.col("p.cid").alias("p"), F.col("p.component").alias("pc"))
             pairs = at.join(pivot, "key").where("component <> pc").select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b")).distinct()
             last = False
         else:
-            dealt = in_block_pairs(at.join(reps, "cid"), "key", "cid").select("run", "side", "cid", "component", "n_shingles", "regs")
+            own = texts.join(at.select(F.col("cid").alias("doc_id")).distinct(), "doc_id").groupBy("doc_id").agg(F.first("text").alias("text"))
+            short = ws.put(own.mapInArrow(_short_sets(width), "cid long, short binary"), "short")
+            dealt = in_block_pairs(at, "key", "cid").join(reps, "cid").join(short, "cid").select("run", "side", "t", "cid", "component", "n_shingles", "regs", "short")
             runs = dealt.repartition("run").sortWithinPartitions("run")
-            pairs = runs.mapInArrow(_across(floor), "a long, b long").distinct()
+            pairs = runs.mapInArrow(_across(floor, percent), "a long, b long").distinct()
         fresh = ws.put(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), f"pairs-{turn}")
         tried = fresh if tried is None else tried.unionByName(fresh)
         links = verified(promising(fresh), f"turn-{turn}")
@@ -318,7 +339,7 @@ def near_duplicates(
         labels = ws.put(connected_components(links, ws, f"cc-{turn}"), f"labels-{turn}")
         if last:
             break
-        at = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "key", F.coalesce("component", "cid").alias("component"))
+        at = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "t", "key", F.coalesce("component", "cid").alias("component"))
         split = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
         at = ws.put(at.join(split, "key"), f"apart-{turn}")
         turn += 1
