@@ -4,12 +4,338 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .functions import binary as B, paths as P
+from .operators import catalog, chunking, codec, dedup, keyvalue
+from .params import Chunking, Coding
+from .plans.upload import share_rows
+from .sources.files import documents_as_files
+from .streaming.incremental import idle_sessions
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+HIGH, LOW, CRSSS = Coding(), Coding(pair="low"), Coding(codec="crsss")
+SIZE = 256
+SMALL = Chunking(64, 128, 256)
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _files(spark: SparkSession, sf: str) -> DataFrame:
+    return documents_as_files(spark, sf)
+
+
+def _shares(spark: SparkSession, sf: str) -> DataFrame:
+    return share_rows(_files(spark, sf).drop("path"), SIZE)
+
+
+_S = "32 * ((size + 32 + 95) // 96)"
+_CHUNKS = f"""
+f as (select doc_id, doc_id as seq, try_cast(substr(source, 4, 10) as int) as user_id, hex(encode(text)) as h from documents where strlen(text) > 0),
+c as (select doc_id, seq, user_id, unnest(range(0, (length(h) // 2 + {SIZE - 1}) // {SIZE}))::int as secret_id, h from f),
+c2 as (select doc_id, seq, user_id, secret_id, substr(h, secret_id * {2 * SIZE} + 1, {2 * SIZE}) as ch, (length(ch) // 2)::int as size from c),
+shares as (select doc_id, seq, user_id, secret_id, size as secret_size, ch, ({_S})::bigint as share_size,
+  sha256(unhex(rpad(ch, (2 * (3 * {_S} - 32))::int, '0'))) as fp from c2)"""
+_FIRST = "select *, row_number() over (partition by fp order by seq, secret_id, user_id, share_size) as rn, min(seq) over (partition by user_id, fp) as first_seq from shares"
+
+
+@query("""select doc_id, strlen(text) as size, (32 * ((strlen(text) + 32 + 95) // 96))::bigint as high, (16 * ((strlen(text) + 16 + 47) // 48))::bigint as low,
+  (32 * ((strlen(text) + 31) // 32))::bigint as crsss, (3 * 32 * ((strlen(text) + 32 + 95) // 96) - 32)::bigint as aligned from documents""")
+def share_size_formula(spark, sf):
+    n = F.octet_length("data").cast("long")
+    return _files(spark, sf).select("doc_id", n.alias("size"), B.share_size(n, HIGH).alias("high"), B.share_size(n, LOW).alias("low"), B.share_size(n, CRSSS).alias("crsss"), B.aligned_size(n, HIGH).alias("aligned"))
+
+
+@query("select doc_id, sha256(text) as sha256, md5(text) as md5, sha1(text) as sha1 from documents")
+def file_fingerprint(spark, sf):
+    return _files(spark, sf).select("doc_id", B.fingerprint(F.col("data")).alias("sha256"), F.md5("data").alias("md5"), F.sha1("data").alias("sha1"))
+
+
+@query(f"with {_CHUNKS} select doc_id, secret_id, secret_size, sha256(unhex(ch)) as chunk_fp, secret_id = max(secret_id) over (partition by doc_id) as is_last from shares")
+def fixed_chunks(spark, sf):
+    # the last chunk is known from the file's size; no window is needed
+    c = chunking.fixed_chunks(_files(spark, sf).select("doc_id", F.octet_length("data").alias("n"), "data"), SIZE)
+    return c.select("doc_id", "secret_id", "secret_size", B.fingerprint(F.col("chunk")).alias("chunk_fp"), ((F.col("secret_id") + 1) * SIZE >= F.col("n")).alias("is_last"))
+
+
+@query(f"with {_CHUNKS} select count(*) as n_chunks, coalesce(sum(case when regexp_full_match(ch, '0*') then secret_size else 0 end), 0)::bigint as zero_bytes from shares")
+def zero_chunks(spark, sf):
+    c = chunking.fixed_chunks(_files(spark, sf).select("data"), SIZE)
+    return c.agg(F.count("*").alias("n_chunks"), F.coalesce(F.sum(F.when(B.is_zero(F.col("chunk")), F.col("secret_size")).otherwise(0)), F.lit(0)).cast("long").alias("zero_bytes"))
+
+
+@query()
+def var_chunks(spark, sf):
+    c = chunking.variable_chunks(_files(spark, sf).select("doc_id", "data"), SMALL)
+    return c.select("doc_id", "secret_id", "secret_size", B.fingerprint(F.col("chunk")).alias("chunk_fp"))
+
+
+@query()
+def var_chunk_stats(spark, sf):
+    s = share_rows(_files(spark, sf).drop("path"), variable=SMALL)
+    return dedup.transfer_stats(s, HIGH.n)
+
+
+@query(f"with {_CHUNKS}, m as ({_FIRST}) select doc_id, secret_id, user_id, fp, (seq > first_seq)::int as dup from m")
+def intra_user_dedup(spark, sf):
+    return dedup.intra_user(_shares(spark, sf)).select("doc_id", "secret_id", "user_id", "fp", "dup")
+
+
+@query(f"with {_CHUNKS}, m as ({_FIRST}) select fp, seq, secret_id, user_id, share_size from m where rn = 1")
+def inter_user_dedup(spark, sf):
+    return dedup.inter_user(_shares(spark, sf))
+
+
+@query(f"with {_CHUNKS}, m as ({_FIRST}) select doc_id, secret_id, fp, share_size from m where seq = first_seq")
+def transfer_set(spark, sf):
+    return dedup.transfer_set(_shares(spark, sf)).select("doc_id", "secret_id", "fp", "share_size")
+
+
+@query(f"""with {_CHUNKS}, m as ({_FIRST}) select user_id, count(*) as n_chunks, sum(secret_size)::bigint as logical_bytes, (4 * sum(share_size))::bigint as share_bytes,
+  (4 * sum(case when seq = first_seq then share_size else 0 end))::bigint as transferred_bytes, (4 * sum(case when rn = 1 then share_size else 0 end))::bigint as physical_bytes from m group by 1""")
+def transfer_stats(spark, sf):
+    return dedup.transfer_stats(_shares(spark, sf), HIGH.n)
+
+
+@query(f"with {_CHUNKS} select fp, user_id, count(*) as ref_cnt from shares group by 1, 2")
+def ref_counts(spark, sf):
+    return dedup.ref_counts(_shares(spark, sf))
+
+
+@query(f"""with {_CHUNKS}, m as ({_FIRST}), a as (select fp, count(distinct user_id) as num_users, count(*)::bigint as refs, min(user_id) as first_user from shares where user_id is not null group by 1)
+  select m.fp, seq, secret_id, user_id, share_size, num_users, refs, first_user from m left join a using (fp) where rn = 1""")
+def share_index(spark, sf):
+    x = dedup.share_index(_shares(spark, sf))
+    return x.withColumn("first_user", F.array_min(F.map_keys("users"))).drop("users")
+
+
+_FOLD = """
+o as (select *, {by} as g, row_number() over (partition by {by} order by seq, secret_id) as i from {rows}),
+r as (select g, i, doc_id, secret_id, secret_size, share_size, 0::bigint as batch, 0::bigint as off, share_size as used from o where i = 1
+  union all
+  select o.g, o.i, o.doc_id, o.secret_id, o.secret_size, o.share_size, case when r.used + o.share_size > {limit} then r.batch + 1 else r.batch end,
+    case when r.used + o.share_size > {limit} then 0 else r.used end, case when r.used + o.share_size > {limit} then o.share_size else r.used + o.share_size end
+  from r join o on o.g = r.g and o.i = r.i + 1)"""
+
+
+@query(f"with recursive {_CHUNKS}, {_FOLD.format(by='doc_id', rows='shares', limit=2048)} select doc_id, secret_id, batch, off as \"offset\" from r")
+def upload_batches(spark, sf):
+    return dedup.upload_batches(_shares(spark, sf), ["doc_id"], 2048).select("doc_id", "secret_id", "batch", "offset")
+
+
+@query(f"""with recursive {_CHUNKS}, {_FOLD.format(by='doc_id', rows='shares', limit=2048)},
+  p as (select doc_id, batch, count(*) as coming_secrets, sum(secret_size)::bigint as coming_bytes from r group by 1, 2)
+  select *, coalesce(sum(coming_secrets) over w, 0)::bigint as past_secrets, coalesce(sum(coming_bytes) over w, 0)::bigint as past_bytes from p window w as (partition by doc_id order by batch rows between unbounded preceding and 1 preceding)""")
+def batch_counts(spark, sf):
+    return dedup.batch_counts(dedup.upload_batches(_shares(spark, sf), ["doc_id"], 2048), ["doc_id"])
+
+
+def _containers(spark, sf):
+    stored = dedup.inter_user(_shares(spark, sf)).where("user_id is not null")
+    return dedup.upload_batches(stored, ["user_id"], 16384, order=["seq", "secret_id"])
+
+
+@query(f"""with recursive {_CHUNKS}, m as ({_FIRST}), stored as (select * from m where rn = 1 and user_id is not null), {_FOLD.format(by='user_id', rows='stored', limit=16384)}
+  select g as user_id, doc_id as seq, secret_id, batch as container_no, off as "offset", share_size,
+    'aaaaaaaaaa' || chr((97 + (batch // 26) % 26)::int) || chr((97 + batch % 26)::int) || '.sc' as container from r""")
+def container_packing(spark, sf):
+    c = _containers(spark, sf)
+    return c.select("user_id", "seq", "secret_id", F.col("batch").alias("container_no"), "offset", "share_size", B.base26_name(F.col("batch"), ".sc").alias("container"))
+
+
+_LE = "right(lpad(hex(user_id & 255), 2, '0'), 2) || right(lpad(hex((user_id >> 8) & 255), 2, '0'), 2) || '0000'"
+
+
+@query(f"""with f as (select doc_id, try_cast(substr(source, 4, 10) as int) as user_id, '/' || lang || '/' || source || '/' || doc_id as full_path from documents)
+  select doc_id, full_path, sha256(encode(full_path) || unhex({_LE})) as inode_fp, '/' || split_part(full_path, '/', 2) || '/' || split_part(full_path, '/', 3) || '/' as dir, doc_id::varchar as name from f""")
+def inode_fp(spark, sf):
+    return catalog.inodes(_files(spark, sf).drop("data")).select("doc_id", "full_path", "inode_fp", "dir", "name")
+
+
+@query("""with f as (select distinct try_cast(substr(source, 4, 10) as int) as user_id, lang, source, doc_id from documents),
+  e as (select distinct user_id, '/' as parent, '/' || lang || '/' as child from f union all select distinct user_id, '/' || lang || '/', '/' || lang || '/' || source || '/' from f
+    union all select user_id, '/' || lang || '/' || source || '/', '/' || lang || '/' || source || '/' || doc_id from f)
+  select user_id, parent, count(*) as num_children from e group by 1, 2""")
+def dir_tree(spark, sf):
+    return catalog.children(catalog.tree_edges(catalog.inodes(_files(spark, sf).drop("data"))))
+
+
+@query("""with p as (select page_id, regexp_replace(url, '^[a-z]+://[^/]*', '') as path from pages)
+  select page_id, path, case when length(path) > 0 and not starts_with(path, './') and not starts_with(path, '../') then case when starts_with(path, '/') then path else '/' || path end end as full_path,
+    case when length(path) > 0 then case when ends_with(path, '/') then path else path || '/' end end as dir_form from p""")
+def path_normalise(spark, sf):
+    p = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.regexp_replace("url", "^[a-z]+://[^/]*", "").alias("path"))
+    return p.select("page_id", "path", P.absolute(F.col("path")).alias("full_path"), P.directory(F.col("path")).alias("dir_form"))
+
+
+def _versions(spark, sf):
+    v = spark.read.parquet(f"{sf}/conversations.parquet")
+    return v.select("conv_id", "turn", F.sha2(F.encode("text", "UTF-8"), 256).alias("fp"))
+
+
+@query("select conv_id, turn, sha256(text) as fp from (select *, row_number() over (partition by conv_id order by turn desc) as rn from conversations) where rn = 1")
+def version_lookup(spark, sf):
+    return catalog.at_version(_versions(spark, sf), ["conv_id"], "turn")
+
+
+@query("select conv_id, turn, sha256(text) as fp from (select *, row_number() over (partition by conv_id order by turn desc) as rn from conversations) where rn = 3")
+def version_lookup_older(spark, sf):
+    return catalog.at_version(_versions(spark, sf), ["conv_id"], "turn", 2)
+
+
+@query(f"with {_CHUNKS}, a as (select doc_id, count(*) as num_shares, sum(secret_size)::bigint as recipe_bytes from shares group by 1) select d.doc_id, coalesce(num_shares, 0) as num_shares, coalesce(recipe_bytes, 0)::bigint as recipe_bytes, coalesce(recipe_bytes, 0) = strlen(d.text) as complete from documents d left join a using (doc_id)")
+def recipe_scan(spark, sf):
+    sizes = _files(spark, sf).select("doc_id", F.octet_length("data").alias("file_size"))
+    return catalog.complete_files(_shares(spark, sf), sizes)
+
+
+_RT = "select doc_id, sha256(text) as sha256 from documents where strlen(text) > 0"
+
+
+@query(_RT)
+def restore_roundtrip(spark, sf):
+    rows = share_rows(_files(spark, sf).drop("path"), SIZE, with_data=True).withColumn("fp", B.fingerprint(F.col("chunk")))
+    store = rows.groupBy("fp").agg(F.first("chunk").alias("chunk"))
+    return catalog.restore(rows.select("doc_id", "secret_id", "fp"), store).select("doc_id", B.fingerprint(F.col("data")).alias("sha256"))
+
+
+def _roundtrip(coding: Coding, kept: list[int]) -> Query:
+    def run(spark, sf):
+        chunks = chunking.fixed_chunks(_files(spark, sf).select("doc_id", "data"), 8192)
+        back = codec.decode(codec.keep_shares(codec.encode(chunks, coding), kept), coding).where("intact")
+        parts = back.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("secret_id", F.hex("secret").alias("h")))).alias("p"))
+        return parts.select("doc_id", B.fingerprint(F.unhex(F.concat_ws("", F.transform("p", lambda x: x["h"])))).alias("sha256"))
+
+    return run
+
+
+for _name, _coding, _kept in [
+    ("caont_roundtrip", HIGH, [0, 1, 2]), ("caont_low_roundtrip", LOW, [0, 1, 2]), ("caont_erasure_roundtrip", HIGH, [1, 2, 3]), ("crsss_roundtrip", CRSSS, [0, 2, 3]),
+    ("old_caont_roundtrip", Coding(codec="caont_rs_old"), [0, 1, 3]), ("aont_roundtrip", Coding(codec="aont_rs"), [0, 2, 3]),
+]:
+    QUERIES[_name], SQL[_name] = _roundtrip(_coding, _kept), _RT
+
+
+def _bench(spark, sf):
+    return spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 0").select("item_id", F.encode("text", "UTF-8").alias("chunk")).withColumn("secret_size", F.octet_length("chunk"))
+
+
+@query("select count(*) as n, 0::bigint as intact, count(*) as rejected from benchmark where length(text) > 0")
+def caont_tamper(spark, sf):
+    e = codec.keep_shares(codec.encode(_bench(spark, sf)), [0, 1, 2])
+    flip = F.concat(F.unhex(F.when(F.substring(F.hex(F.element_at("kept", 2)), 1, 2) == "00", "01").otherwise("00")), F.substring(F.element_at("kept", 2), F.lit(2), F.lit(1 << 20)))
+    e = e.withColumn("kept", F.array(F.element_at("kept", 1), flip, F.element_at("kept", 3)))
+    d = codec.decode(e)
+    return d.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("intact").cast("long")), F.lit(0)).alias("intact"), F.sum((F.col("secret").isNull()).cast("long")).alias("rejected"))
+
+
+@query("select count(*) as n, count(distinct text) as texts, count(distinct text) as share_sets from benchmark where length(text) > 0")
+def share_determinism(spark, sf):
+    e = codec.encode(_bench(spark, sf))
+    return e.agg(F.count("*").alias("n"), F.countDistinct("chunk").alias("texts"), F.countDistinct(F.sha2(F.concat(*[F.element_at("shares", i) for i in (1, 2, 3, 4)]), 256)).alias("share_sets"))
+
+
+@query("select doc_id, '/' || lang || '/' || source || '/' || doc_id as path from documents")
+def path_sharing(spark, sf):
+    f = _files(spark, sf).select("doc_id", F.concat(F.encode("path", "UTF-8"), F.unhex(F.lit("00"))).alias("chunk")).withColumn("secret_size", F.octet_length("chunk"))
+    d = codec.decode(codec.keep_shares(codec.encode(f), [0, 1, 3]))
+    return d.select("doc_id", F.decode(F.substring("secret", F.lit(1), F.octet_length("secret") - 1), "UTF-8").alias("path"))
+
+
+@query(f"with {_CHUNKS} select count(*) as n, 0::bigint as mismatches from shares")
+def fp_verify(spark, sf):
+    rows = share_rows(_files(spark, sf).drop("path"), SIZE, with_data=True)
+    again = B.fingerprint(B.pad_zero(F.col("chunk"), B.aligned_size(F.col("secret_size"), HIGH)))
+    return rows.agg(F.count("*").alias("n"), F.sum((again != F.col("fp")).cast("long")).alias("mismatches"))
+
+
+def _log(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    return e.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "del").otherwise("put").alias("op"), "value")
+
+
+_LOG = "l as (select user_id as key, event_id as seq, case when event_type = 'error' then 'del' else 'put' end as op, value from events)"
+_LATEST = "t as (select key, seq, value from (select *, row_number() over (partition by key order by seq desc) as rn from l {where}) where rn = 1 and op <> 'del')"
+
+
+@query(f"with {_LOG}, {_LATEST.format(where='')} select * from t")
+def kv_latest(spark, sf):
+    return keyvalue.latest(_log(spark, sf))
+
+
+@query(f"with {_LOG}, {_LATEST.format(where='where seq <= 500')} select * from t")
+def kv_snapshot(spark, sf):
+    return keyvalue.latest(_log(spark, sf), 500)
+
+
+@query(f"with {_LOG}, {_LATEST.format(where='')} select * from t where key >= 20 and key < 90 order by key")
+def kv_range_scan(spark, sf):
+    return keyvalue.scan(_log(spark, sf), 20, 90)
+
+
+@query(f"with {_LOG}, {_LATEST.format(where='')} select * from t where key >= 20 order by key desc")
+def kv_reverse_scan(spark, sf):
+    return keyvalue.scan(_log(spark, sf), 20, reverse=True)
+
+
+@query(f"with {_LOG}, {_LATEST.format(where='')} select k.key, coalesce(t.seq, -1) as seq, t.value from (select distinct user_id + 1 as key from events) k left join t using (key)")
+def kv_get(spark, sf):
+    log = _log(spark, sf)
+    return keyvalue.get(log, log.select((F.col("key") + 1).alias("key")).distinct()).withColumn("seq", F.coalesce("seq", F.lit(-1)))
+
+
+@query(f"with {_LOG}, b as (select * from l union all select key, 1000000 + key as seq, 'del' as op, null as value from (select distinct key from l) where key % 2 = 0), t as (select key, seq, value from (select *, row_number() over (partition by key order by seq desc) as rn from b) where rn = 1 and op <> 'del') select * from t")
+def kv_write_batch(spark, sf):
+    log = _log(spark, sf)
+    gone = log.select("key").distinct().where("key % 2 = 0").select("key", (F.col("key") + 1_000_000).alias("seq"), F.lit("del").alias("op"), F.lit(None).cast("double").alias("value"))
+    return keyvalue.latest(keyvalue.write(log, gone))
+
+
+@query(f"with {_LOG}, {_LATEST.format(where='')} select count(*) as n_keys from t where key >= 20 and key < 90")
+def kv_range_size(spark, sf):
+    return keyvalue.range_bytes(_log(spark, sf), 20, 90).select("n_keys")
+
+
+@query("select floor(value / 25)::bigint as bucket, count(*) as n, min(value) as low, max(value) as high from events group by 1")
+def kv_histogram(spark, sf):
+    return keyvalue.histogram(spark.read.parquet(f"{sf}/events.parquet"), "value", 25.0)
+
+
+@query("""with g as (select user_id, ts, epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts)) as gap from events where ts is not null),
+  s as (select user_id, ts, sum(case when gap < 1800000000 then 0 else 1 end) over (partition by user_id order by ts)::bigint as session from g)
+  select user_id, session, epoch_us(min(ts)) as first_us, epoch_us(max(ts)) as last_us, count(*) as n_events from s group by 1, 2""")
+def idle_flush_sessions(spark, sf):
+    s = idle_sessions(spark.read.parquet(f"{sf}/events.parquet"))
+    return s.select("user_id", "session", F.unix_micros(F.col("first_ts").cast("timestamp")).alias("first_us"), F.unix_micros(F.col("last_ts").cast("timestamp")).alias("last_us"), "n_events")
+
+
+@query(f"with {_CHUNKS}, m as ({_FIRST}) select fp, seq, secret_id, user_id, share_size from m where rn = 1")
+def incremental_dedup(spark, sf):
+    """Four uploads after another, each against the index so far; equal to one upload of all."""
+    shares = _shares(spark, sf)
+    top = shares.agg(F.max("seq")).first()[0] or 0
+    index = None
+    for k in range(4):
+        part = shares.where((F.col("seq") > top * k // 4) & (F.col("seq") <= top * (k + 1) // 4)) if k else shares.where(F.col("seq") <= top // 4)
+        new = dedup.inter_user(part)
+        index = new if index is None else index.unionByName(new.join(index.select("fp"), "fp", "left_anti"))
+    return index
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
