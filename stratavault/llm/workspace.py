@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; one is chosen only where it is unset."""
@@ -26,7 +29,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
+        self.spark = ship(spark)
         self.root = f"{shared_root(spark)}/stratavault/{label}-{uuid.uuid4().hex}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
@@ -43,5 +46,7 @@ class Workspace:
 
     def settle(self) -> None:
         """Lets Spark's cleaner free the shuffle files of steps that are over."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # what the first pass lets go of, the cleaner sees after the second
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
