@@ -136,7 +136,7 @@ def _spelled(text: str) -> Iterator[tuple[int, int, str]]:
 
 
 def find_disguised(text: str, base: list[Span]) -> list[Span]:
-    """Spans that show only in the normalised text, mapped back; none overlaps a base span."""
+    """Spans that show only in the normalised text, mapped back; each contains the base spans that it overlaps."""
     odd, disguise = bool(_ODD.search(text)), bool(_HAS_DISGUISE.search(text))
     spelled = any(_DIGIT_WORD.search(m[0]) for m in _SPELLED.finditer(text))
     if not (odd or disguise or spelled):
@@ -154,7 +154,7 @@ def find_disguised(text: str, base: list[Span]) -> list[Span]:
         start, end = view.source(a, b)
         if text[start:end] == view.text[a:b]:
             continue
-        if all(end <= x or start >= y for x, y in taken):
+        if all(end <= x or start >= y or (start <= x and y <= end) for x, y in taken):
             new.append((start, kind, end))
             taken.append((start, end))
     return new
