@@ -11,9 +11,23 @@ from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
 
+#: Bounds of a batch sent to a Python worker, set where the session has none below them: rows may be long, so a batch is bounded by bytes as well.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    for key, most in BATCH.items():
+        try:
+            now = int(spark.conf.get(key, "0"))
+        except ValueError:  # written with a unit, so it was chosen
+            continue
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends the package's sources to the executors, once per application."""
+    """Sends the package's sources to the executors, once per application, and bounds the session's Arrow batches."""
+    _bound_batches(spark)
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         here = Path(__file__).resolve().parent
