@@ -17,12 +17,10 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execut
 
 def _bound_batches(spark: SparkSession) -> None:
     for key, most in BATCH.items():
-        try:
-            now = int(spark.conf.get(key, "0"))
-        except ValueError:  # written with a unit, so it was chosen
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if now.isdigit() and 0 < int(now) <= most:
             continue
-        if not 0 < now <= most:
-            spark.conf.set(key, str(most))
+        spark.conf.set(key, str(most))
 
 
 def ship(spark: SparkSession) -> SparkSession:
