@@ -239,3 +239,20 @@ def test_pipeline_stages(spark):
         docs = Workspace(spark, "t").put(out, name)
     last = corpus_pipeline.STAGES[-1][1](spark, docs, "")
     assert last.where("start = 0").count() == docs.count() > 0
+
+
+@pytest.mark.parametrize("name", ["op1_minhash_dedup", "op5_suffix_dedup", "op10_embedding_dedup"])
+def test_queries_as_their_sql(spark, name):
+    import duckdb
+
+    from stratavault.llm import queries
+
+    sf_dir = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")
+    want = con.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    got = queries.queries()[name](spark, sf_dir)
+    assert sorted(got.columns) == sorted(columns)
+    assert Counter(tuple(r) for r in got.select(*columns).collect()) == Counter(want.fetchall())
