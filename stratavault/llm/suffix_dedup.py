@@ -227,7 +227,7 @@ def _second_digits(groups: int):
         rows = []
         if parts:
             d, p, h, ctx = (np.concatenate(x) for x in zip(*parts, strict=True))
-            rows = [(g, _packed(a), b.tobytes(), c.tobytes(), e.tobytes()) for g, (a, b, c, e) in _split((h >> np.uint64(33)) % np.uint64(groups), d, p, h, ctx)]
+            rows = [(g, _packed(a), b.tobytes(), c.tobytes(), pa.compress(e.tobytes(), "zstd", asbytes=True)) for g, (a, b, c, e) in _split((h >> np.uint64(33)) % np.uint64(groups), d, p, h, ctx)]
         cols = list(zip(*rows, strict=True)) or [()] * 5
         return pa.table([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["g", "docs", "at", "digits", "around"])
 
@@ -252,7 +252,8 @@ def _repeated(parts: int):
 
     def run(table: pa.Table) -> pa.Table:
         docs, at, digits = _unpacked(table.column("docs")), _joined(table.column("at"), np.uint32).astype(np.int64), _joined(table.column("digits"), np.uint64)
-        ctx = _joined(table.column("around"), np.uint8).reshape(-1, 2 * REACH)
+        sizes = [len(x.as_buffer()) // 4 * 2 * REACH for x in table.column("at")]
+        ctx = np.frombuffer(b"".join(pa.decompress(x.as_buffer(), n, "zstd", asbytes=True) for x, n in zip(table.column("around"), sizes, strict=True)), np.uint8).reshape(-1, 2 * REACH)
         rows: list[tuple] = []
         if len(docs):
             left, right = _prefix_hashes(ctx[:, :REACH][:, ::-1]), _prefix_hashes(ctx[:, REACH:])
