@@ -137,17 +137,16 @@ def _spelled(text: str) -> Iterator[tuple[int, int, str]]:
 
 def find_disguised(text: str, base: list[Span]) -> list[Span]:
     """Spans that show only in the normalised text, mapped back; each contains the base spans that it overlaps."""
-    odd, disguise = bool(_ODD.search(text)), bool(_HAS_DISGUISE.search(text))
-    spelled = any(_DIGIT_WORD.search(m[0]) for m in _SPELLED.finditer(text))
-    if not (odd or disguise or spelled):
-        return []
     view = Mapped(text)
-    if odd:
+    # each step looks at what the steps before it left, as a disguise may stand behind another one
+    if _ODD.search(text):
         view = view.rewrite((m.start(), m.end(), _plain_char(m[0])) for m in _ODD.finditer(view.text))
-    if disguise:
+    if _HAS_DISGUISE.search(view.text):
         view = view.rewrite(_separators(view.text))
-    if spelled:
+    if any(_DIGIT_WORD.search(m[0]) for m in _SPELLED.finditer(view.text)):
         view = view.rewrite(_spelled(view.text))
+    if view.text == text:
+        return []
     taken = sorted((a, b) for a, _, b in base)
     new: list[Span] = []
     for a, kind, b in find_plain(view.text):

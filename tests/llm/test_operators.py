@@ -170,6 +170,14 @@ def test_private_data(text, want):
     assert pii.join_spans(pii.find_all(text)[1]) == want
 
 
+@pytest.mark.parametrize("text, want", [
+    ("john ［at］ example ［dot］ com", "email:0:27"), ("john аt example dоt com", "email:0:23"), ("john (a\u200bt) example (d\u200bot) com", "email:0:29"),
+    ("fоur" + " оne" * 15, "card:0:64"),
+])
+def test_private_data_behind_two_disguises(text, want):
+    assert pii.join_spans(pii.find_all(text)[1]) == want
+
+
 def test_private_data_rows(spark, odd):
     d = table(spark, [(1, "x a@b.co y", None), (None, None, None), (1, "x a@b.co y", None)])
     assert [r["text"] for r in pii.redact(d).orderBy("text").collect()] == [None, "x [EMAIL] y", "x [EMAIL] y"]
