@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
@@ -33,7 +34,13 @@ _DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+|\.)"
 _DISGUISED = re.compile(rf"{_NAME}({_AT})[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I)
 _SEPARATOR = re.compile(rf"({_AT})|({_DOT})", re.I)
 _HAS_DISGUISE = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]|\sdot\s|\s@|@\s", re.I)
-_SPELLED = re.compile(rf"(?<![^\W_])(?:(?:{'|'.join(DIGIT_WORDS)}|[0-9]+)[ ,-]+){{3,}}(?:{'|'.join(DIGIT_WORDS)}|[0-9]+)(?![^\W_])", re.I)
+_NUMBER = rf"(?<![^\W_])(?:{'|'.join(DIGIT_WORDS)}|[0-9]++)(?![^\W_])"
+_DOT_WORD = r"(?:[\[({<]\s*+(?:dot|\.)\s*+[\])}>]|(?<=\s)dot(?=\s))"
+_GAP = rf"(?:\s++|{_DOT_WORD}|[().,-])++"
+_NUMERIC = re.compile(rf"{_NUMBER}(?:{_GAP}{_NUMBER})*+", re.I)
+_PLUS = re.compile(r"(?<![^\W_])plus[\s,-]++\Z", re.I)
+_TOKEN = re.compile(_NUMBER, re.I)
+_ANY_DOT_WORD = re.compile(rf"\s*{_DOT_WORD}\s*", re.I)
 _DIGIT_WORD = re.compile("|".join(DIGIT_WORDS), re.I)
 
 Span = tuple[int, int, int]  # start, kind's place in KINDS, end
@@ -84,7 +91,7 @@ class Mapped:
     def __init__(self, text: str):
         self.text, self.starts, self.ends = text, list(range(len(text))), list(range(1, len(text) + 1))
 
-    def rewrite(self, pieces: Iterator[tuple[int, int, str]]) -> Mapped:
+    def rewrite(self, pieces: Iterable[tuple[int, int, str]]) -> Mapped:
         """Replaces each (start, end, new) of the present text; pieces are in order and apart."""
         out: list[str] = []
         starts: list[int] = []
@@ -123,16 +130,63 @@ def _separators(text: str) -> Iterator[tuple[int, int, str]]:
             yield s.start(), s.end(), "@" if s[1] else "."
 
 
-def _spelled(text: str) -> Iterator[tuple[int, int, str]]:
-    for m in _SPELLED.finditer(text):
-        if not _DIGIT_WORD.search(m[0]):
+def _new_gap(gap: str, words: int, wide: bool) -> str:
+    """What stands for ``gap`` between two numbers of which ``words`` are spelled."""
+    if not gap.strip(" \t\n\r\f\v,-\xa0"):
+        if "\n" in gap and not wide:
+            return gap
+        return "" if words else " " if gap.strip("- ") or len(gap) > 1 else gap
+    return gap if gap == "." else re.sub(r"[\s,]+", " ", _ANY_DOT_WORD.sub(".", gap))
+
+
+def _numbers(text: str, wide: bool) -> Iterator[tuple[int, int, str]]:
+    """Digits for the words of each row of numbers, with gaps that the plain patterns know; those decide what it is.
+
+    A line's end parts numbers unless ``wide``.  An address keeps its numbers apart
+    from words beside it: in a row with three dots no number gets more than three
+    digits by joining, and a plain address none.
+    """
+    ips = None
+    for m in _NUMERIC.finditer(text):
+        plus = _PLUS.search(text, max(0, m.start() - 12), m.start())
+        if not (plus or _DIGIT_WORD.search(m[0])):
+            continue
+        tokens = [(t.start(), t.end(), DIGIT_WORDS.get(t[0].lower())) for t in _TOKEN.finditer(text, m.start(), m.end())]
+        if sum(1 if d else b - a for a, b, d in tokens) < 4:
             continue
-        at = m.start()
-        while at < m.end():
-            w = _DIGIT_WORD.match(text, at)
-            step = w.end() - at if w else 1
-            yield at, at + step, DIGIT_WORDS[w[0].lower()] if w else (text[at] if text[at].isdigit() else "")
-            at += step
+        if ips is None:
+            ips = {x for i in _IP.finditer(text) for x in i.span()}
+        gaps = [_new_gap(text[b:c], bool(d) + bool(e), wide) for (_, b, d), (c, _, e) in pairwise(tokens)]
+        gaps = [text[b:c] if not g and (b in ips or c in ips) else g for g, ((_, b, _), (c, _, _)) in zip(gaps, pairwise(tokens), strict=True)]
+        if gaps.count(".") > 2:
+            gaps = _threes(tokens, gaps)
+        if plus:
+            yield plus.start(), plus.end(), "+"
+        for (a, b, d), gap, (c, _, _) in zip(tokens, [*gaps, None], [*tokens[1:], tokens[-1]], strict=True):
+            if d:
+                yield a, b, d
+            if gap is not None and gap != text[b:c]:
+                yield b, c, gap
+
+
+def _threes(tokens: list[tuple], gaps: list[str]) -> list[str]:
+    """``gaps`` with blanks where joined numbers would pass three digits, counted from the dot that they stand at."""
+    gaps = list(gaps)
+    at = 0
+    while at < len(gaps):
+        to = at
+        while to < len(gaps) and not gaps[to]:
+            to += 1
+        before_dot = to < len(gaps) and gaps[to] == "." and not (at and gaps[at - 1] == ".")
+        held = 0
+        for k in reversed(range(at, to + 1)) if before_dot else range(at, to + 1):
+            n = 1 if tokens[k][2] else tokens[k][1] - tokens[k][0]
+            if held and held + n > 3:
+                gaps[k if before_dot else k - 1] = " "
+                held = 0
+            held += n
+        at = to + 1
+    return gaps
 
 
 def find_disguised(text: str, base: list[Span]) -> list[Span]:
@@ -143,20 +197,21 @@ def find_disguised(text: str, base: list[Span]) -> list[Span]:
         view = view.rewrite((m.start(), m.end(), _plain_char(m[0])) for m in _ODD.finditer(view.text))
     if _HAS_DISGUISE.search(view.text):
         view = view.rewrite(_separators(view.text))
-    if any(_DIGIT_WORD.search(m[0]) for m in _SPELLED.finditer(view.text)):
-        view = view.rewrite(_spelled(view.text))
-    if view.text == text:
-        return []
+    pieces = list(_numbers(view.text, False))
+    views = [view.rewrite(pieces) if pieces else view]
+    if pieces and "\n" in view.text and (more := list(_numbers(view.text, True))) != pieces:
+        views.append(view.rewrite(more))
     taken = sorted((a, b) for a, _, b in base)
     new: list[Span] = []
-    for a, kind, b in find_plain(view.text):
-        start, end = view.source(a, b)
-        if text[start:end] == view.text[a:b]:
-            continue
-        if all(end <= x or start >= y or (start <= x and y <= end) for x, y in taken):
-            new.append((start, kind, end))
-            taken.append((start, end))
-    return new
+    for view in views:
+        for a, kind, b in find_plain(view.text) if view.text != text else ():
+            start, end = view.source(a, b)
+            if text[start:end] == view.text[a:b] or (start, kind, end) in new:
+                continue
+            if all(end <= x or start >= y or (start <= x and y <= end) for x, y in taken):
+                new.append((start, kind, end))
+                taken.append((start, end))
+    return sorted(new)
 
 
 def find_all(text: str | None) -> tuple[list[Span], list[Span]]:

@@ -178,6 +178,24 @@ def test_private_data_behind_two_disguises(text, want):
     assert pii.join_spans(pii.find_all(text)[1]) == want
 
 
+@pytest.mark.parametrize("text, want", [
+    ("call +one (seven four three) five five five-three eight two four now", "phone"), ("+1 (seven four three) 555-3824", "phone"), ("plus one seven four three five five five three eight two four", "phone"),
+    ("plus 1 (743) 555-3824", "phone"), ("+one (seven\nfour three)\nfive five five\nthree eight two four", "phone"),
+    ("at one nine two.one six eight.zero.one it", "ip"), ("one five two dot one four three dot two one dot nine", "ip"), ("one 9 two (dot) 168 [.] zero\ndot oh", "ip"),
+    ("10.0.0.1 five dollars", "ip"), ("one two three, four", ""), ("3 + 4 plus 5", ""), ("chapter one. Two of three.", ""),
+])
+def test_private_data_spelled(text, want):
+    assert {pii.KINDS[k] for _, k, _ in pii.find_all(text)[1]} == ({want} if want else set())
+
+
+@pytest.mark.parametrize("text, want", [
+    ("call +1 (seven four three) 555-3824 now", "phone:5:35"), ("at one nine two.one six eight.zero.one it", "ip:3:38"), ("10.0.0.1 five dollars", "ip:0:8"),
+    ("1 dot 2 dot 3 dot one two five six people", "ip:0:30"), ("12\nfour" + " one" * 15, "card:3:67"), ("plus 1 743 555 3824", "phone:0:19"),
+])
+def test_private_data_spelled_ends(text, want):
+    assert pii.join_spans(pii.find_all(text)[1]) == want
+
+
 def test_private_data_rows(spark, odd):
     d = table(spark, [(1, "x a@b.co y", None), (None, None, None), (1, "x a@b.co y", None)])
     assert [r["text"] for r in pii.redact(d).orderBy("text").collect()] == [None, "x [EMAIL] y", "x [EMAIL] y"]
