@@ -126,6 +126,8 @@ def _separators(text: str) -> Iterator[tuple[int, int, str]]:
             continue
         if not re.search(r"dot|[\[({<]|@", m[0], re.I):
             continue  # words around a plain "at" and a full stop are prose
+        if sep.strip().lower() == "at" and (n := _NUMERIC.match(text, m.end(1))) and _reads_as_ip(n[0]):
+            continue  # so are they before an address of numbers
         for s in _SEPARATOR.finditer(text, m.start(), m.end()):
             yield s.start(), s.end(), "@" if s[1] else "."
 
@@ -149,7 +151,7 @@ def _numbers(text: str, wide: bool) -> Iterator[tuple[int, int, str]]:
     ips = None
     for m in _NUMERIC.finditer(text):
         plus = _PLUS.search(text, max(0, m.start() - 12), m.start())
-        if not (plus or _DIGIT_WORD.search(m[0])):
+        if not (plus or _DIGIT_WORD.search(m[0]) or _ANY_DOT_WORD.search(m[0])):
             continue
         tokens = [(t.start(), t.end(), DIGIT_WORDS.get(t[0].lower())) for t in _TOKEN.finditer(text, m.start(), m.end())]
         if sum(1 if d else b - a for a, b, d in tokens) < 4:
@@ -169,6 +171,11 @@ def _numbers(text: str, wide: bool) -> Iterator[tuple[int, int, str]]:
                 yield b, c, gap
 
 
+def _reads_as_ip(row: str) -> bool:
+    read = Mapped(row).rewrite(_numbers(row, True)).text
+    return any(kind == 1 and a == 0 for a, kind, _ in find_plain(read))
+
+
 def _threes(tokens: list[tuple], gaps: list[str]) -> list[str]:
     """``gaps`` with blanks where joined numbers would pass three digits, counted from the dot that they stand at."""
     gaps = list(gaps)

@@ -196,6 +196,19 @@ def test_private_data_spelled_ends(text, want):
     assert pii.join_spans(pii.find_all(text)[1]) == want
 
 
+@pytest.mark.parametrize("text, want", [
+    ("192[.]168[.]0[.]1", "ip:0:17"), ("host 10 (dot) 0 (dot) 0 (dot) 1, port 80", "ip:5:31"), ("the server at 192 dot 168 dot 0 dot 1 is down", "ip:14:37"), ("192.168[dot]0.1", "ip:0:15"),
+    ("192［．］168［．］0［．］1", "ip:0:17"), ("server at 192 dot 168 dot one two dot 3", "ip:10:39"), ("10[.]0[.]0[.]256", ""), ("10.0.0.1 and 10[.]0[.]0[.]2", "ip:0:8,ip:13:27"), ("version 1 dot 2 dot 3", ""),
+    ("john at one dot com", "email:0:19"), ("john [at] 10 dot 0 dot 0 dot 1", "email:0:30"),
+])
+def test_private_data_disguised_ip(text, want):
+    assert pii.join_spans(pii.find_all(text)[1]) == want
+
+
+def test_disguised_ip_is_redacted():
+    assert pii.redact_text("ask 192[.]168[.]0[.]1 or 10 dot 0 dot 0 dot 1.") == "ask [IP] or [IP]."
+
+
 def test_private_data_rows(spark, odd):
     d = table(spark, [(1, "x a@b.co y", None), (None, None, None), (1, "x a@b.co y", None)])
     assert [r["text"] for r in pii.redact(d).orderBy("text").collect()] == [None, "x [EMAIL] y", "x [EMAIL] y"]
