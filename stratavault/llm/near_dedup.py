@@ -21,8 +21,8 @@ REGISTERS = BANDS * ROWS
 BASE = 1.001
 LIMIT = 65535  # registers are truncated to 0..LIMIT
 RATE = 20.0
-#: Pairs whose likelihood is greatest at a similarity this far below the threshold (almost 5 standard deviations) are not compared exactly.
-MARGIN = 0.12
+#: Pairs whose likelihood is greatest at a similarity this far below the threshold (7 standard deviations) are not compared exactly.
+MARGIN = 0.18
 #: Rounds of comparisons with one pivot go on while buckets hold more pairs apart than this for each of their rows, for MOST_STARS rounds at most; then blocks are compared, which covers all.
 PAIRS_A_ROW, MOST_STARS = 16, 2
 EMPTY = np.empty(0, np.uint64)
@@ -240,7 +240,7 @@ def _across(floor: float, percent: int):
                 continue
             same = regs[js] == regs[i]
             first = same.reshape(len(js), BANDS, ROWS).all(2).argmax(1) == band
-            js = js[first & (same.mean(1) >= floor)]
+            js = js[first & (same.mean(1) >= floor - 0.05)]
             if not len(js):
                 continue
             sizes = np.array([len(sets[j]) for j in js])

@@ -70,6 +70,16 @@ def test_sketches_merge_and_estimate():
     assert abs(est - truth) < 0.1
 
 
+def test_cuts_before_the_exact_sets_are_seven_deviations_off():
+    assert near_dedup.MARGIN >= 7 * (0.8 * 0.2 / near_dedup.REGISTERS) ** 0.5
+    regs = np.full((2, near_dedup.REGISTERS), 9, "<u2")
+    regs[1, 150:] = 7  # 0.595 of the registers agree
+    short = np.arange(50, dtype="<u4").tobytes()
+    run = pa.RecordBatch.from_pydict({"run": [1, 1], "side": [-1, -1], "t": [0, 0], "cid": [3, 4], "component": [3, 4], "n_shingles": [50, 50], "regs": [r.tobytes() for r in regs], "short": [short, short]})
+    out = list(near_dedup._across(0.8 - near_dedup.MARGIN, 80)(iter([run])))
+    assert [b.to_pylist() for b in out] == [[{"a": 3, "b": 4}]]
+
+
 def test_quality_rules(spark, odd):
     got = quality_rules.score_quality(spark, odd, ws=Workspace(spark, "t")).collect()
     assert len(got) == odd.count() and "kept" in got[0].__fields__
