@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from .components import connected_components
 from .runs import each_run, in_block_pairs
@@ -161,6 +161,39 @@ def _sketched(width: int):
     return run
 
 
+def _keyed(width: int):
+    """The class keys of texts, without sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in shingle_sets(part.column(1), width)]
+                k1, k2 = (pa.array([int.from_bytes(k[i : i + 8], "little", signed=True) for k in keys], pa.int64()) for i in (0, 8))
+                yield pa.RecordBatch.from_arrays([part.column(0), k1, k2, part.column(1)], names=["doc_id", "k1", "k2", "text"])
+
+    return run
+
+
+def _own_ids(classes: DataFrame, ws: Workspace) -> DataFrame:
+    """(k1, k2, first, cid): cid is the least id ``first``, but of classes with the same one all but one get ids above all others."""
+    order = Window.partitionBy("first").orderBy("k1", "k2")
+    ranked = ws.put(classes.withColumn("rank", F.row_number().over(order)), "classes-ranked")
+    top = ranked.agg(F.max("first")).first()[0]
+    # numbers without gaps: within 256 parts, after what the parts before hold
+    part = F.pmod(F.xxhash64("k1", "k2"), F.lit(256))
+    more = ranked.where("rank > 1").withColumn("part", part).withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy("k1", "k2")))
+    sizes = {r["part"]: r["count"] for r in more.groupBy("part").count().collect()}
+    before, held = {}, 0
+    for k in sorted(sizes):
+        before[k], held = held, held + sizes[k]
+    if not held:
+        return ranked.select("k1", "k2", "first", F.col("first").alias("cid"))
+    offset = F.create_map(*[F.lit(x) for k, v in before.items() for x in (k, v)])[F.col("part")]
+    numbered = more.select("k1", "k2", "first", (F.lit(top) + offset + F.col("i")).cast("long").alias("cid"))
+    return ranked.where("rank = 1").select("k1", "k2", "first", F.col("first").alias("cid")).unionByName(numbered)
+
+
 def _promising(floor: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,15 +307,20 @@ def near_duplicates(
     that only links come out.  All pairs then pass the likelihood and the exact sets.
 
     A null or empty text has no shingles and is linked with nothing; a null id is a
-    row of its own (component_id null, kept); rows that repeat an id share its
-    component; an empty table gives an empty result.
+    row of its own (component_id null, kept); rows that repeat an id, with whatever
+    texts, share its component; an empty table gives an empty result.
     """
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     floor = percent / 100 - MARGIN
     sk = ws.put(d.mapInArrow(_sketched(width), "doc_id long, n_shingles long, k1 long, k2 long, regs binary"), "sketches")
     real = sk.where("doc_id is not null and n_shingles > 0")
-    classes = ws.put(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("cid")), "classes")
-    reps = real.join(classes, ["k1", "k2"]).where("doc_id = cid").select("cid", "n_shingles", "regs").dropDuplicates(["cid"])
+    # ids that stand for several texts: their classes are linked, and no two classes go by the same id
+    key = F.struct("k1", "k2")
+    twice = ws.put(sk.where("doc_id is not null").groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi").select("doc_id"), "twice")
+    repeats = not twice.isEmpty()
+    classes = real.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"))
+    classes = ws.put(_own_ids(ws.put(classes, "classes-least"), ws) if repeats else classes.withColumn("cid", F.col("first")), "classes")
+    reps = real.join(classes, ["k1", "k2"]).where("doc_id = first").select("cid", "n_shingles", "regs").dropDuplicates(["cid"])
     reps = ws.put(reps, "reps")
     ws.settle()
 
@@ -293,6 +331,15 @@ def near_duplicates(
 
     texts = d.where("doc_id is not null").join(reps.select(F.col("cid").alias("doc_id")), "doc_id", "left_semi")
 
+    labels: DataFrame | None = None
+    if repeats:
+        several = d.join(twice, "doc_id", "left_semi").mapInArrow(_keyed(width), "doc_id long, k1 long, k2 long, text string").join(classes, ["k1", "k2"])
+        exact = several.where("doc_id = first").select(F.col("cid").alias("doc_id"), "text")
+        texts = texts.join(twice, "doc_id", "left_anti").unionByName(exact)
+        owners = real.join(twice, "doc_id", "left_semi").join(classes, ["k1", "k2"]).select("doc_id", "cid").distinct()
+        same_id = owners.join(owners.groupBy("doc_id").agg(F.min("cid").alias("a")), "doc_id").select("a", F.col("cid").alias("b"))
+        labels = ws.put(connected_components(same_id, ws, "cc-ids"), "labels-ids")
+
     def promising(pairs: DataFrame) -> DataFrame:
         left = reps.select(F.col("cid").alias("a"), F.col("regs").alias("ra"), F.col("n_shingles").alias("na"))
         right = reps.select(F.col("cid").alias("b"), F.col("regs").alias("rb"), F.col("n_shingles").alias("nb"))
@@ -311,7 +358,6 @@ def near_duplicates(
         return links
 
     tried: DataFrame | None = None
-    labels: DataFrame | None = None
     at = members.withColumn("component", F.col("cid"))
     turn = 0
     while True:
@@ -349,4 +395,7 @@ def near_duplicates(
     of_class = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("k1", "k2", F.coalesce("component", "cid").alias("component_id"))
     done = real.select("doc_id", "n_shingles", "k1", "k2").join(of_class, ["k1", "k2"]).select("doc_id", "n_shingles", "component_id")
     alone = sk.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    if repeats:
+        shared = done.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("component_id").alias("c"))
+        alone = alone.join(shared, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("c", "component_id").alias("component_id"))
     return done.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -70,6 +70,24 @@ def test_sketches_merge_and_estimate():
     assert abs(est - truth) < 0.1
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark, odd):
+    rng = np.random.default_rng(8)
+    p, q, s = (" ".join(f"{c}{x}" for x in rng.integers(0, 5000, 90)) for c in "pqs")
+    more = [(6, p), (90, p.replace("p1", "v", 1)), (91, q), (92, p), (92, s), (6, q + " end"), (93, s + " end"), (94, s), (94, ""), (95, None), (95, q), (50, q), (50, p + " z")]
+    d = odd.unionByName(table(spark, [(i, t, "s1") for i, t in more]))
+    rows = [(r["doc_id"], r["text"]) for r in d.collect()]
+
+    def shingles(t):
+        w = WORD.findall((t or "").lower())
+        return frozenset([tuple(w)] if 0 < len(w) < 4 else [tuple(w[j : j + 4]) for j in range(len(w) - 3)])
+
+    sets = [shingles(t) for _, t in rows]
+    comp = brute_components(rows, sets, lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b))
+    want = Counter((i, len(sets[k]), None if i is None else min(rows[m][0] for m in comp if comp[m] == comp[k])) for k, (i, _) in enumerate(rows))
+    got = near_dedup.near_duplicates(spark, d, Workspace(spark, "t"), width=4).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+
+
 def test_cuts_before_the_exact_sets_are_seven_deviations_off():
     assert near_dedup.MARGIN >= 7 * (0.8 * 0.2 / near_dedup.REGISTERS) ** 0.5
     regs = np.full((2, near_dedup.REGISTERS), 9, "<u2")
