@@ -116,6 +116,7 @@ def ref_counts(spark, sf):
 @query(f"""with {_CHUNKS}, m as ({_FIRST}), a as (select fp, count(distinct user_id) as num_users, count(*)::bigint as refs, min(user_id) as first_user from shares where user_id is not null group by 1)
   select m.fp, seq, secret_id, user_id, share_size, num_users, refs, first_user from m left join a using (fp) where rn = 1""")
 def share_index(spark, sf):
+    """As the SQL: rows without a user count neither in num_users nor in refs; a share that only they hold has nulls there."""
     x = dedup.share_index(_shares(spark, sf))
     return x.withColumn("first_user", F.array_min(F.map_keys("users"))).drop("users")
 
@@ -150,6 +151,7 @@ def _containers(spark, sf):
   select g as user_id, doc_id as seq, secret_id, batch as container_no, off as "offset", share_size,
     'aaaaaaaaaa' || chr((97 + (batch // 26) % 26)::int) || chr((97 + batch % 26)::int) || '.sc' as container from r""")
 def container_packing(spark, sf):
+    """As the SQL: a share whose first row has no user (its document has a null source) is in no container."""
     c = _containers(spark, sf)
     return c.select("user_id", "seq", "secret_id", F.col("batch").alias("container_no"), "offset", "share_size", B.base26_name(F.col("batch"), ".sc").alias("container"))
 
