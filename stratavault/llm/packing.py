@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, types as T
 
-from .tokens import default_path, document_ids
+from .tokens import default_path, document_ids, tokenizer as load_tokenizer
 
 LENGTH = 2048
 TIERS = (2048, 1024, 512, 256)
@@ -194,7 +194,7 @@ def _pieces(path: str, length: int):
         for names, ids in _windows(batches, path):
             seqs = pack_tiers([len(x) for x in ids], length)
             sizes = [sum(n for _, _, n in s) for s in seqs]
-            groups = step_groups(sizes)
+            groups = [sequence + g for g in step_groups(sizes)]  # a window has at least as many sequences as groups
             rows = []
             for s, size, group in zip(seqs, sizes, groups, strict=True):
                 offset = 0
@@ -212,8 +212,10 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
     """One row per piece: doc_id (long), start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens, step_group.
 
     Each task packs the documents of its partition, WINDOW tokens at a time, so
-    nothing is shuffled; sequence ids carry the partition's number.  A document's
-    ids end with id 1; a null or empty text is that id alone; null or repeated ids
+    nothing is shuffled; sequence ids carry the partition's number.  The sequences of
+    a window are dealt into step groups of near equal attention cost, STEP at most on
+    average; ``step_group`` is the id of a sequence of the same window, so groups of
+    different windows never share a number.  A document's ids end with id 1; a null or empty text is that id alone; null or repeated ids
     are documents like others; an empty table gives an empty result.
     """
     schema = T.StructType([T.StructField(n, t) for n, t in [("doc_id", T.LongType()), *PIECE, ("sequence_tokens", T.LongType()), ("step_group", T.LongType())]])
@@ -222,25 +224,32 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
 
 
 MATRIX = T.StructType([
-    T.StructField("sequence_id", T.LongType()), T.StructField("input_ids", T.BinaryType()), T.StructField("n_tokens", T.IntegerType()),
+    T.StructField("sequence_id", T.LongType()), T.StructField("input_ids", T.BinaryType()), T.StructField("position_ids", T.BinaryType()), T.StructField("n_tokens", T.IntegerType()),
     T.StructField("cu_seqlens", T.ArrayType(T.IntegerType())), T.StructField("doc_ids", T.ArrayType(T.LongType())),
     T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("doc_tokens", T.ArrayType(T.LongType())),
 ])
 
 
+#: Ids and positions of a matrix are unsigned 16-bit numbers.
+WIDEST = 1 << 16
+
+
 def _matrices(path: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (top := load_tokenizer(path).greatest_id()) >= WIDEST:
+            raise ValueError(f"the tokenizer has id {top}, which a matrix of 16-bit ids can't hold")
         sequence = _first_sequence()
         for names, ids in _windows(batches, path):
             rows = []
             for seq in pack_best_fit([len(x) for x in ids], length):
-                line = np.zeros(length, "<u2")
+                line, place = np.zeros((2, length), "<u2")
                 ends = np.cumsum([0, *(n for _, _, n in seq)])
                 for (d, a, n), at in zip(seq, ends, strict=False):
                     line[at : at + n] = ids[d][a : a + n]
-                rows.append((sequence, line.tobytes(), int(ends[-1]), ends.tolist(), [names[d] for d, _, _ in seq], [a for _, a, _ in seq], [len(ids[d]) for d, _, _ in seq]))
+                place[: ends[-1]] = positions(ends)
+                rows.append((sequence, line.tobytes(), place.tobytes(), int(ends[-1]), ends.tolist(), [names[d] for d, _, _ in seq], [a for _, a, _ in seq], [len(ids[d]) for d, _, _ in seq]))
                 sequence += 1
-            types = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 3]
+            types = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 3]
             for at in range(0, len(rows), 256):
                 cols = list(zip(*rows[at : at + 256], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=MATRIX.names)
@@ -252,12 +261,15 @@ def write_matrices(spark: SparkSession, docs: DataFrame, path: str, doc_id: str
     """Packs ``docs`` and writes the sequences to ``path``; returns them as read back.
 
     A row is a line of the id matrix: ``input_ids`` (``length`` little-endian
-    unsigned 16-bit ids, 0 behind ``n_tokens``), ``cu_seqlens`` (cumulative segment
-    lengths from 0; positions start again at each), and per segment the document,
-    its start there and the document's tokens.  Null or empty texts are the end id
-    alone; null and repeated ids are documents like others; an empty table writes
-    an empty one.
+    unsigned 16-bit ids, 0 behind ``n_tokens``), ``position_ids`` (likewise, from 0
+    again at each segment), ``cu_seqlens`` (cumulative segment lengths from 0), and
+    per segment the document, its start there and the document's tokens.  Null or
+    empty texts are the end id alone; null and repeated ids are documents like
+    others; an empty table writes an empty one.  A tokenizer with ids that 16 bits
+    can't hold is refused.
     """
+    if length > WIDEST:
+        raise ValueError("positions of a longer sequence don't fit 16 bits")
     src = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     src.mapInArrow(_matrices(tokenizer or default_path(), length), MATRIX).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(MATRIX).parquet(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +13,13 @@ import pyarrow.compute as pc
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 
-#: Latin letters whose lower case and NFC form are single and certain, then ASCII punctuation but the apostrophe.
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ž]+)([!-&(-/:-@\[-`{-~]*)")
-CACHE = 1_500_000
-CORES = 500_000
-PART = 8 << 20
+#: Lower-case Latin letters whose NFC form is certain, or ASCII punctuation but the apostrophe: one piece for the model.
+_SIMPLE = re.compile(r"[a-zß-öø-įı-ž]+|[!-&(-/:-@\[-`{-~]+")
+#: Punctuation right behind a letter always starts a piece of its own, so a blank between them changes no ids.
+_SEAM = r"(\p{L})([!-&(-/:-@\[-`{-~])"
+#: Bytes that the known words may take, about; beyond, all are forgotten.
+KNOWN_BYTES = 48 << 20
+PART = 4 << 20
 
 
 def default_path(name: str = VOCABULARY) -> str:
@@ -29,11 +31,13 @@ def default_path(name: str = VOCABULARY) -> str:
 class WordTokenizer:
     """Gives exactly the ids of the tokenizer file for whole texts.
 
-    The vocabulary's pieces never cross ASCII blanks, so each distinct word of a
-    batch is looked up once and the texts are put together from the words' ids.
-    Simple words (Latin letters, then punctuation) go to the BPE model itself; all
-    others through the whole tokenizer.  Known words have a slot in flat arrays;
-    before there are more than CACHE of them, all but the present ones are forgotten.
+    The vocabulary's pieces never cross ASCII blanks, so texts are split there, each
+    distinct word of a part is looked up once and the texts are put together from the
+    words' ids.  ASCII capitals are lowered and punctuation is set apart before the
+    split, both of which the tokenizer does anyway, so that far fewer words are
+    distinct; texts with the mark of special tokens are left as they are.  Simple
+    words go to the BPE model itself, all others through the whole tokenizer.  What
+    is known of words is kept between parts, KNOWN_BYTES at most.
     """
 
     def __init__(self, path: str):
@@ -44,67 +48,42 @@ class WordTokenizer:
         self.full = Tokenizer.from_file(path)
         self.model = self.full.model
         self.byte_char = self._byte_chars()
-        self.cores: dict[str, list[int]] = {}
-        self._forget()
-
-    def _forget(self) -> None:
-        self.slots: dict[str, int] = {}
-        self.flat = np.empty(1 << 16, np.uint32)
-        self.first = np.zeros(1 << 16, np.int32)  # slot i has flat[first[i] : first[i + 1]]
+        self.known: dict[str, bytes] = {}  # the ids as 32-bit integers
+        self.held = 0
 
     @staticmethod
-    def _byte_chars() -> list[str]:
+    def _byte_chars() -> dict[int, str]:
         """The printable character that stands for each byte in byte-level vocabularies: itself, or the next free one from U+0100 on."""
-        own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        chars = {b: chr(b) for b in own}
+        own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         free = iter(range(0x100, 0x200))
-        return [chars[b] if b in chars else chr(next(free)) for b in range(256)]
-
-    def _piece(self, piece: str) -> list[int]:
-        if not piece.isascii():
-            piece = "".join(self.byte_char[b] for b in piece.encode())
-        return [t.id for t in self.model.tokenize(piece)]
-
-    def _core(self, piece: str) -> list[int]:
-        ids = self.cores.get(piece)
-        if ids is None:
-            if len(self.cores) >= CORES:
-                self.cores.clear()
-            ids = self.cores[piece] = self._piece(piece)
-        return ids
-
-    def _word(self, word: str) -> list[int]:
-        m = _SIMPLE.fullmatch(word)
-        if not m:
+        return {b: chr(b) if b in own else chr(next(free)) for b in range(256)}
+
+    def greatest_id(self) -> int:
+        return max(self.full.get_vocab(with_added_tokens=True).values(), default=0)
+
+    def _ids(self, word: str) -> list[int]:
+        if not word:
+            return []
+        if not _SIMPLE.fullmatch(word):
             return self.full.encode(word, add_special_tokens=False).ids
-        ids = self._core(m[1].lower())
-        return ids + self._core(m[2]) if m[2] else ids
-
-    def _learn(self, words: list[str]) -> None:
-        """Gives the words slots."""
-        lists = [self._word(w) if w else [] for w in words]
-        n, m = len(self.slots), len(words)
-        if n + m + 1 > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros(n + m + 1, np.int32)])
-        self.first[n + 1 : n + m + 1] = self.first[n] + np.cumsum(np.fromiter(map(len, lists), np.int64, m))
-        new = np.fromiter(chain.from_iterable(lists), np.uint32)
-        end = int(self.first[n]) + len(new)
-        if end > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty(max(end, len(self.flat)), np.uint32)])
-        self.flat[end - len(new) : end] = new
-        self.slots.update(zip(words, range(n, n + m), strict=True))
-
-    def _slots_of(self, words: list[str]) -> np.ndarray:
-        get = self.slots.get
-        slots = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        missing = np.flatnonzero(slots < 0)
-        if len(missing):
-            if len(self.slots) + len(missing) > CACHE and len(self.slots):
-                self._forget()
-                return self._slots_of(words)
-            self._learn([words[i] for i in missing])
-            slots[missing] = np.arange(len(self.slots) - len(missing), len(self.slots))
-        return slots
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.byte_char)
+        return [t.id for t in self.model.tokenize(word)]
+
+    def _table(self, words: list[str]) -> pa.ListArray:
+        """The ids of each word."""
+        known = self.known
+        got = list(map(known.get, words))
+        for i in [i for i, ids in enumerate(got) if ids is None]:
+            ids = got[i] = array("I", self._ids(words[i])).tobytes()
+            if len(words[i]) <= 64:
+                known[words[i]] = ids
+                self.held += 200 + len(words[i]) + len(ids)
+        if self.held > KNOWN_BYTES:
+            known.clear()
+            self.held = 0
+        offsets = np.cumsum([0, *map(len, got)], dtype=np.int32) >> 2
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(got), np.uint32)))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets): the ids of text i are ids[offsets[i] : offsets[i + 1]]; a null text has none.
@@ -121,11 +100,14 @@ class WordTokenizer:
         return ids, np.concatenate([[0], np.cumsum(counts)])
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        split = pc.ascii_split_whitespace(texts)
+        # in this order: lowering a slice of an array whose offsets don't begin at 0 garbles it
+        plain = pc.ascii_lower(pc.replace_substring_regex(texts, _SEAM, r"\1 \2"))
+        special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+        if special.any():
+            plain = pa.array([(t if s else p).as_py() for s, t, p in zip(special, texts, plain, strict=True)], pa.large_string())
+        split = pc.ascii_split_whitespace(plain)
         words = split.flatten().dictionary_encode()
-        slots = self._slots_of(words.dictionary.to_pylist())
-        table = pa.ListArray.from_arrays(pa.array(self.first[: len(self.slots) + 1]), pa.array(self.flat[: self.first[len(self.slots)]]))
-        taken = table.take(pa.array(slots[words.indices.to_numpy(zero_copy_only=False)]))
+        taken = self._table(words.dictionary.to_pylist()).take(words.indices)
         ends = taken.offsets.to_numpy().astype(np.int64)
         offsets = split.offsets.to_numpy().astype(np.int64)
         return taken.flatten().to_numpy(), (ends - ends[0])[offsets - offsets[0]]
