@@ -11,20 +11,18 @@ from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
 
-#: Bounds of a batch sent to a Python worker, set where the session has none below them: rows may be long, so a batch is bounded by bytes as well.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of a batch sent to a Python worker in place of Spark's default; a session's own choice stays, and so does the bound on rows.
+DEFAULT_BYTES, BATCH_BYTES = "67108864b", 8 << 20
 
 
 def _bound_batches(spark: SparkSession) -> None:
-    for key, most in BATCH.items():
-        now = spark.conf.get(key).lower().removesuffix("b")
-        if now.isdigit() and 0 < int(now) <= most:
-            continue
-        spark.conf.set(key, str(most))
+    if spark.conf.get(_BYTES).lower() == DEFAULT_BYTES:
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends the package's sources to the executors, once per application, and bounds the session's Arrow batches."""
+    """Sends the package's sources to the executors, once per application, and bounds the bytes of the session's Arrow batches."""
     _bound_batches(spark)
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
