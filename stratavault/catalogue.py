@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .functions import binary as B, paths as P
-from .operators import catalog, chunking, codec, dedup, keyvalue
+from .functions import binary as B, encodings as E, paths as P
+from .operators import caching, catalog, chunking, codec, dedup, keyvalue, shares as S
 from .params import Chunking, Coding
 from .plans.upload import share_rows
-from .sources.files import documents_as_files
+from .plans.vault import Vault
+from .scratch import folder
+from .sources.files import documents_as_files, read_files, write_files
+from .sources.tables import SortedTable
 from .streaming.incremental import idle_sessions
 
 HIGH, LOW, CRSSS = Coding(), Coding(pair="low"), Coding(codec="crsss")
@@ -75,13 +78,32 @@ def zero_chunks(spark, sf):
     return c.agg(F.count("*").alias("n_chunks"), F.coalesce(F.sum(F.when(B.is_zero(F.col("chunk")), F.col("secret_size")).otherwise(0)), F.lit(0)).cast("long").alias("zero_bytes"))
 
 
-@query()
+# 257 is 1 modulo the mask's 128, so a window's hash under the mask is the sum of its bytes
+_VAR = """
+f as materialized (select doc_id, doc_id as seq, try_cast(substr(source, 4, 10) as int) as user_id, hex(encode(text)) as h, strlen(text)::bigint as n from documents where strlen(text) > 0),
+bytes as (select doc_id, p, ('0x' || substr(h, 2 * p::int + 1, 2))::int as b from (select *, unnest(range(0, n)) as p from f)),
+anchors as (select doc_id, list(p order by p) as places from (select doc_id, p, sum(b) over (partition by doc_id order by p rows 47 preceding) as s from bytes) where p >= 47 and s % 128 = 0 group by 1),
+g as materialized (select f.doc_id, n, coalesce(places, []) as places from f left join anchors using (doc_id)),
+e as (select doc_id, 0::int as secret_id, -1::bigint as before,
+    case when n < 65 then n - 1 else least(coalesce(list_filter(places, lambda x: x >= 63)[1], n), 255, n - 1) end as last, n, places from g
+  union all select doc_id, secret_id + 1, last,
+    case when last + 64 > n - 1 then n - 1 else least(coalesce(list_filter(places, lambda x: x >= last + 64)[1], n), last + 256, n - 1) end, n, places from e where last < n - 1),
+c2 as (select f.doc_id, seq, user_id, secret_id, substr(h, (2 * before + 3)::int, (2 * (last - before))::int) as ch, (last - before)::int as size from e join f using (doc_id))"""
+
+
+@query(f"with recursive {_VAR} select doc_id, secret_id, size as secret_size, sha256(unhex(ch)) as chunk_fp from c2")
 def var_chunks(spark, sf):
     c = chunking.variable_chunks(_files(spark, sf).select("doc_id", "data"), SMALL)
     return c.select("doc_id", "secret_id", "secret_size", B.fingerprint(F.col("chunk")).alias("chunk_fp"))
 
 
-@query()
+_STATS = """select user_id, count(*) as n_chunks, sum(secret_size)::bigint as logical_bytes, (4 * sum(share_size))::bigint as share_bytes,
+  (4 * sum(case when seq = first_seq then share_size else 0 end))::bigint as transferred_bytes, (4 * sum(case when rn = 1 then share_size else 0 end))::bigint as physical_bytes from m group by 1"""
+_SHARES_OF = f"""shares as (select doc_id, seq, user_id, secret_id, size as secret_size, ch, ({_S})::bigint as share_size,
+  sha256(unhex(rpad(ch, (2 * (3 * {_S} - 32))::int, '0'))) as fp from c2)"""
+
+
+@query(f"with recursive {_VAR}, {_SHARES_OF}, m as ({_FIRST}) {_STATS}")
 def var_chunk_stats(spark, sf):
     s = share_rows(_files(spark, sf).drop("path"), variable=SMALL)
     return dedup.transfer_stats(s, HIGH.n)
@@ -102,8 +124,7 @@ def transfer_set(spark, sf):
     return dedup.transfer_set(_shares(spark, sf)).select("doc_id", "secret_id", "fp", "share_size")
 
 
-@query(f"""with {_CHUNKS}, m as ({_FIRST}) select user_id, count(*) as n_chunks, sum(secret_size)::bigint as logical_bytes, (4 * sum(share_size))::bigint as share_bytes,
-  (4 * sum(case when seq = first_seq then share_size else 0 end))::bigint as transferred_bytes, (4 * sum(case when rn = 1 then share_size else 0 end))::bigint as physical_bytes from m group by 1""")
+@query(f"with {_CHUNKS}, m as ({_FIRST}) {_STATS}")
 def transfer_stats(spark, sf):
     return dedup.transfer_stats(_shares(spark, sf), HIGH.n)
 
@@ -209,15 +230,15 @@ _RT = "select doc_id, sha256(text) as sha256 from documents where strlen(text) >
 def restore_roundtrip(spark, sf):
     rows = share_rows(_files(spark, sf).drop("path"), SIZE, with_data=True).withColumn("fp", B.fingerprint(F.col("chunk")))
     store = rows.groupBy("fp").agg(F.first("chunk").alias("chunk"))
-    return catalog.restore(rows.select("doc_id", "secret_id", "fp"), store).select("doc_id", B.fingerprint(F.col("data")).alias("sha256"))
+    return catalog.digests(catalog.restore(rows.select("doc_id", "secret_id", "fp"), store))
 
 
 def _roundtrip(coding: Coding, kept: list[int]) -> Query:
     def run(spark, sf):
         chunks = chunking.fixed_chunks(_files(spark, sf).select("doc_id", "data"), 8192)
         back = codec.decode(codec.keep_shares(codec.encode(chunks, coding), kept), coding).where("intact")
-        parts = back.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("secret_id", F.hex("secret").alias("h")))).alias("p"))
-        return parts.select("doc_id", B.fingerprint(F.unhex(F.concat_ws("", F.transform("p", lambda x: x["h"])))).alias("sha256"))
+        ordered = back.select("doc_id", "secret_id", "secret").repartition("doc_id").sortWithinPartitions("doc_id", "secret_id")
+        return catalog.digests(ordered, data="secret")
 
     return run
 
@@ -255,11 +276,122 @@ def path_sharing(spark, sf):
     return d.select("doc_id", F.decode(F.substring("secret", F.lit(1), F.octet_length("secret") - 1), "UTF-8").alias("path"))
 
 
-@query(f"with {_CHUNKS} select count(*) as n, 0::bigint as mismatches from shares")
+def _owned(spark, sf):
+    """Every document as a file with a user; those without a source are user -1's."""
+    return _files(spark, sf).withColumn("user_id", F.coalesce("user_id", F.lit(-1)))
+
+
+def _vault(spark, sf, label: str, parts: int = 2) -> Vault:
+    """All documents in a vault, uploaded in batches by doc_id."""
+    vault = Vault(spark, folder(spark, label), HIGH, SIZE, container_bytes=1 << 16)
+    files = _owned(spark, sf)
+    top = files.agg(F.max("seq")).first()[0] or 0
+    for k in range(parts):
+        low, high = top * k // parts, top * (k + 1) // parts
+        vault.upload(files.where(F.col("seq").between(low + 1, high) if k else F.col("seq") <= high), k)
+    return vault
+
+
+_CLOUDS = "(select unnest(range(4))::int as cloud)"
+
+
+@query(f"with {_CHUNKS} select cloud, count(*) as n_shares, count(distinct fp) as n_distinct, sum(share_size)::bigint as n_bytes from shares, {_CLOUDS} group by cloud")
+def share_fingerprints(spark, sf):
+    """Shares are fingerprinted cloud by cloud; equal secrets have equal shares, different ones none in common."""
+    s = S.cloud_shares(chunking.fixed_chunks(_files(spark, sf).select("data"), SIZE), HIGH)
+    return s.groupBy("cloud").agg(F.count("*").alias("n_shares"), F.countDistinct("share_fp").alias("n_distinct"), F.sum("share_size").alias("n_bytes"))
+
+
+@query(f"with {_CHUNKS} select cloud, count(distinct fp) as n, 0::bigint as mismatches from shares, {_CLOUDS} group by cloud")
 def fp_verify(spark, sf):
-    rows = share_rows(_files(spark, sf).drop("path"), SIZE, with_data=True)
-    again = B.fingerprint(B.pad_zero(F.col("chunk"), B.aligned_size(F.col("secret_size"), HIGH)))
-    return rows.agg(F.count("*").alias("n"), F.sum((again != F.col("fp")).cast("long")).alias("mismatches"))
+    """Fingerprints of the bytes that lie in containers against those they came with."""
+    return _vault(spark, sf, "verify").verify().select("cloud", F.col("n_shares").alias("n"), F.col("n_bad").alias("mismatches"))
+
+
+@query(f"with {_CHUNKS} select cloud, count(distinct fp) as n_shares, count(distinct fp) as n_ok, sum(share_size)::bigint as n_bytes from (select distinct fp, share_size from shares), {_CLOUDS} group by cloud")
+def container_fetch(spark, sf):
+    """Every share as a slice of its container."""
+    vault = _vault(spark, sf, "fetch")
+    got = S.verified(S.fetch(vault.index(), vault.committed("containers")))
+    return got.groupBy("cloud").agg(F.count("*").alias("n_shares"), F.sum(F.col("ok").cast("long")).alias("n_ok"), F.sum(F.octet_length("share").cast("long")).alias("n_bytes"))
+
+
+@query(f"with {_CHUNKS}, m as ({_FIRST.replace('by seq, secret_id, user_id, share_size', 'by seq, secret_id, coalesce(user_id, -1)')}) select cloud, coalesce(user_id, -1)::int as user_id, count(*) as n_shares, sum(share_size)::bigint as n_bytes from m, {_CLOUDS} where rn = 1 group by all")
+def repair_index(spark, sf):
+    """The index made anew from the containers alone."""
+    return _vault(spark, sf, "repair").repair().groupBy("cloud", "user_id").agg(F.count("*").alias("n_shares"), F.sum("share_size").alias("n_bytes"))
+
+
+def _restored(clouds: list[int]) -> Query:
+    def run(spark, sf):
+        vault = _vault(spark, sf, "restore")
+        asked = _owned(spark, sf).select("doc_id", "user_id", "path")
+        found = vault.request(asked).select("doc_id", "inode_fp", "version")
+        return catalog.digests(vault.restore(found, clouds), "inode_fp").join(found, "inode_fp").select("doc_id", "sha256")
+
+    return run
+
+
+_RESTORED = "select doc_id, sha256(text) as sha256 from documents where strlen(text) > 0"
+QUERIES["cloud_zip_restore"], SQL["cloud_zip_restore"] = _restored([0, 1, 2]), _RESTORED
+QUERIES["cloud_lost_restore"], SQL["cloud_lost_restore"] = _restored([1, 2, 3]), _RESTORED
+
+
+@query("""with f as (select doc_id, coalesce(try_cast(substr(source, 4, 10) as int), -1) as user_id, concat_ws('/', '', lang, source, doc_id) as path from documents)
+  select doc_id, user_id, path, true as found from f union all select doc_id, user_id + 1, path, exists (select 1 from f g where g.user_id = f.user_id + 1 and g.path = f.path) from f""")
+def inode_lookup(spark, sf):
+    """Files by user and path: each document's, and the same path of the next user."""
+    f = _owned(spark, sf).drop("data")
+    asked = f.select("doc_id", "user_id", "path").unionByName(f.select("doc_id", (F.col("user_id") + 1).alias("user_id"), "path"))
+    return catalog.find_files(asked, catalog.inodes(f).select("inode_fp").distinct()).select("doc_id", "user_id", "path", "found")
+
+
+@query(_RESTORED)
+def file_roundtrip(spark, sf):
+    """Documents written as files by the sink and read back by the source."""
+    at = folder(spark, "files")
+    chunks = chunking.fixed_chunks(_files(spark, sf).select("doc_id", "data"), 8192)
+    write_files(chunks.repartition("doc_id").sortWithinPartitions("doc_id", "secret_id"), at, "doc_id").write.format("noop").mode("overwrite").save()
+    back = read_files(spark, at, 0)
+    return back.select(F.regexp_extract("path", "([0-9]+)$", 1).cast("long").alias("doc_id"), B.fingerprint(F.col("data")).alias("sha256"))
+
+
+@query("""with f as (select doc_id, sha256(text) as fp, strlen(text) as n from documents)
+  select doc_id, '30' || upper(fp) as inode_key, '31' || upper(fp) as share_key,
+    case when n < 128 then printf('%02X', n) when n < 16384 then printf('%02X%02X', n & 127 | 128, n >> 7) else printf('%02X%02X%02X', n & 127 | 128, n >> 7 & 127 | 128, n >> 14) end as varint,
+    printf('%02X%02X%02X%02X', n & 255, n >> 8 & 255, n >> 16 & 255, n >> 24 & 255) as fixed32 from f where n is not null""")
+def index_records(spark, sf):
+    """Keys and numbers as an index's records hold them, in hex."""
+    f = _files(spark, sf).where("data is not null").select("doc_id", B.fingerprint(F.col("data")).alias("fp"), F.octet_length("data").alias("n"))
+    return f.select("doc_id", F.hex(E.index_key(F.col("fp"), "inode")).alias("inode_key"), F.hex(E.index_key(F.col("fp"), "share")).alias("share_key"), F.hex(E.varint(F.col("n"))).alias("varint"), F.hex(E.fixed(F.col("n"), 4)).alias("fixed32"))
+
+
+@query("""with p as (select page_id, regexp_replace(url, '^[a-z]+://', '') as path, regexp_replace(url, '^[a-z]+://[^/]*', '') as below from pages)
+  select page_id, 'in/' || path as under, case when length(below) = 0 or starts_with(below, '/') or starts_with(below, './') or starts_with(below, '../') then null else 'in/' || below end as below_in,
+    length(path) > 0 as same, coalesce(rtrim(path, '/') = rtrim(below, '/') and length(below) > 0, false) as same_below from p""")
+def path_join(spark, sf):
+    p = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"), F.regexp_replace("url", "^[a-z]+://[^/]*", "").alias("below"))
+    at = F.lit("in")
+    return p.select("page_id", P.joined(at, F.col("path")).alias("under"), P.joined(at, F.col("below")).alias("below_in"), P.same_directory(F.concat(F.lit("./"), "path"), F.col("path")).alias("same"), P.same_directory(F.col("path"), F.col("below")).alias("same_below"))
+
+
+@query("""with f as (select distinct try_cast(substr(source, 4, 10) as int) as user_id, lang, source, doc_id from documents where source is not null and lang is not null)
+  select distinct user_id, lang || '/' as name, true as is_dir from f""")
+def dir_listing(spark, sf):
+    f = _files(spark, sf).drop("data").where("user_id is not null")
+    return catalog.listing(catalog.tree_edges(catalog.inodes(f)), "/")
+
+
+@query("""with f as (select distinct try_cast(substr(source, 4, 10) as int) as user_id, lang, source, doc_id from documents where lang = 'en' and source is not null)
+  select distinct user_id, '/en/' || source || '/' as path, 1::int as depth from f union all select user_id, '/en/' || source || '/' || doc_id, 2::int from f""")
+def dir_walk(spark, sf):
+    f = _files(spark, sf).drop("data").where("user_id is not null")
+    return catalog.walk(catalog.tree_edges(catalog.inodes(f)), "/en/")
+
+
+@query("select conv_id, count(*) as num_versions, max(turn) as newest from conversations group by 1")
+def version_counts(spark, sf):
+    return _versions(spark, sf).groupBy("conv_id").agg(F.count("*").alias("num_versions"), F.max("turn").alias("newest"))
 
 
 def _log(spark, sf):
@@ -304,9 +436,105 @@ def kv_write_batch(spark, sf):
     return keyvalue.latest(keyvalue.write(log, gone))
 
 
-@query(f"with {_LOG}, {_LATEST.format(where='')} select count(*) as n_keys from t where key >= 20 and key < 90")
+def _texts(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    return e.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "del").otherwise("put").alias("op"), F.col("props").alias("value"))
+
+
+@query(f"with {_LOG.replace(', value from events', ', props as value from events')}, {_LATEST.format(where='')} select count(*) as n_keys, coalesce(sum(coalesce(strlen(value), 0) + 8), 0)::bigint as n_bytes from t where key >= 20 and key < 90")
 def kv_range_size(spark, sf):
-    return keyvalue.range_bytes(_log(spark, sf), 20, 90).select("n_keys")
+    return keyvalue.range_bytes(_texts(spark, sf), 20, 90)
+
+
+@query("select count(value) as n, min(value) as low, max(value) as high, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as stddev, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99 from events")
+def kv_summary(spark, sf):
+    return keyvalue.summary(spark.read.parquet(f"{sf}/events.parquet"), "value")
+
+
+@query(f"with {_LOG}, {_LATEST.format(where='')} select * from t where reverse(key::varchar) >= '02' and reverse(key::varchar) < '09'")
+def kv_comparator_scan(spark, sf):
+    """Keys ordered by their digits from the last on."""
+    return keyvalue.scan(_log(spark, sf), 20, 90, comparator=lambda key: F.reverse(key.cast("string")))
+
+
+@query(f"with {_LOG}, {_LATEST.format(where='')} (select 'from' as way, * from t where key >= 50 order by key limit 5) union all (select 'back' as way, * from t where key <= 50 order by key desc limit 5)")
+def kv_seek(spark, sf):
+    log = _log(spark, sf)
+    return keyvalue.seek(log, 50, 5).select(F.lit("from").alias("way"), "*").unionByName(keyvalue.seek(log, 50, 5, reverse=True).select(F.lit("back").alias("way"), "*"))
+
+
+@query(f"with {_LOG}, a as (select distinct key from l where value > 60), b as (select distinct key from l where op = 'del' and value > 60) select 'union' as op, key from (select key from a union select key from b) union all select 'intersect', key from (select key from a intersect select key from b) union all select 'subtract', key from (select key from a except select key from b)")
+def kv_set_operations(spark, sf):
+    log = _log(spark, sf)
+    a, b = log.where("value > 60"), log.where("op = 'del' and value > 60")
+    named = lambda rows, op: rows.select(F.lit(op).alias("op"), "key")
+    return named(keyvalue.union(a, b), "union").unionByName(named(keyvalue.intersect(a, b), "intersect")).unionByName(named(keyvalue.subtract(a, b), "subtract"))
+
+
+def _sorted_table(spark, sf) -> SortedTable:
+    """The log in a table on disk, written in three groups."""
+    table, log = SortedTable(spark, folder(spark, "kv"), files=4), _log(spark, sf)
+    top = log.agg(F.max("seq")).first()[0] or 0
+    for k in range(3):
+        table.write(log.where(F.col("seq").between(top * k // 3 + 1, top * (k + 1) // 3) if k else F.col("seq") <= top // 3))
+    return table
+
+
+@query(f"with {_LOG}, {_LATEST.format(where='')} select * from t")
+def kv_table_latest(spark, sf):
+    return keyvalue.latest(_sorted_table(spark, sf).log())
+
+
+@query(f"with {_LOG}, {_LATEST.format(where='')} select * from t where key in (3, 50, 77, 100000)")
+def kv_table_get(spark, sf):
+    return _sorted_table(spark, sf).get([3, 50, 77, 100000])
+
+
+@query(f"with {_LOG}, {_LATEST.format(where='')} select key, seq, 'put' as op, value from t where key >= 20 and key < 90 union all select * from l where not (key >= 20 and key < 90)")
+def kv_compaction(spark, sf):
+    """The log after compaction of one range of keys."""
+    table = _sorted_table(spark, sf)
+    table.compact(20, 90)
+    table.vacuum()
+    return table.log()
+
+
+@query("select count(*) as n_changes, min(user_id) as low, max(user_id) as high from events")
+def kv_table_stats(spark, sf):
+    """Statistics of a table whose manifest was lost and made anew."""
+    table = _sorted_table(spark, sf)
+    table.repair()
+    return table.stats().agg(F.sum("n_changes").alias("n_changes"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def _cache_sql(by: str, weight: str, room: str) -> str:
+    # in a cache that is not full an item is held iff what was read since then, and the item, have room
+    return f"""with a as (select event_id, user_id, {by} as g, {weight} as w, row_number() over (partition by {by} order by event_id) as i from events),
+  b as (select *, lag(i) over (partition by g, user_id order by i) as p from a),
+  s as (select b.event_id, sum(c.w) as between_ from b join b c on c.g = b.g and c.i > b.p and c.i < b.i and coalesce(c.p, 0) <= b.p group by 1)
+  select event_id, p is not null and coalesce(between_, 0) + w <= {room} as hit from b left join s using (event_id)"""
+
+
+def _reads(spark, sf):
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "event_type", (F.col("user_id") % 7 + 1).alias("size"))
+
+
+@query(_cache_sql("event_type", "1", "40"))
+def cache_slots(spark, sf):
+    """Which reads a cache of 40 items finds, one cache for each event type."""
+    return caching.lru(_reads(spark, sf), "user_id", "event_id", 40, ["event_type"]).select("event_id", "hit")
+
+
+@query(_cache_sql("event_type", "(user_id % 7 + 1)", "200"))
+def cache_bytes(spark, sf):
+    """The same for a budget of 200 bytes and items of different sizes."""
+    return caching.lru(_reads(spark, sf), "user_id", "event_id", 200, ["event_type"], size="size").select("event_id", "hit")
+
+
+@query(_cache_sql("(user_id % 4)", "1", "20"))
+def cache_shards(spark, sf):
+    """A cache split into four by key."""
+    return caching.lru(_reads(spark, sf).withColumn("shard", F.col("user_id") % 4), "user_id", "event_id", 20, ["shard"]).select("event_id", "hit")
 
 
 @query("select floor(value / 25)::bigint as bucket, count(*) as n, min(value) as low, max(value) as high from events group by 1")

@@ -19,15 +19,36 @@ def fixed_chunks(files: DataFrame, size: int, data: str = "data") -> DataFrame:
     return out.withColumn("secret_size", F.octet_length("chunk"))
 
 
+#: Bytes whose hashes are computed at a time; what is at hand then stays small and in the processor's cache.
+PIECE = 1 << 18
+#: Bytes of files that go out in one batch of chunks.
+FLUSH = 8 << 20
+
+
 def anchors(data: np.ndarray, p: Chunking) -> np.ndarray:
     """Positions whose last ``window`` bytes have a polynomial hash that is 0 under the mask."""
     if len(data) < p.window:
         return np.empty(0, np.int64)
-    modulus = 1 << 23
-    h = np.zeros(len(data) - p.window + 1, np.int64)
-    for i in range(p.window):
-        h += data[p.window - 1 - i : len(data) - i].astype(np.int64) * (pow(257, i, modulus) & p.mask)
-    return np.flatnonzero((h & p.mask) == 0) + p.window - 1
+    found = []
+    for at in range(p.window - 1, len(data), PIECE):
+        h = _window_hashes(data[at - p.window + 1 : at + PIECE], p.window)
+        found.append(np.flatnonzero((h & np.uint32(p.mask)) == 0) + at)
+    return np.concatenate(found)
+
+
+def _window_hashes(data: np.ndarray, window: int) -> np.ndarray:
+    """The hash modulo 2^32 of each ``window`` bytes, from those of half as many: hash(ab) = hash(a) 257^|b| + hash(b).
+
+    Masks are below 2^23 and so are their multiples' remainders, whatever is above.
+    """
+    if window == 1:
+        return data.astype(np.uint32)
+    half = window // 2
+    h = _window_hashes(data, half)
+    pair = h[: len(h) - half] * np.uint32(pow(257, half, 1 << 32)) + h[half:]
+    if window % 2:
+        pair = pair[:-1] * np.uint32(257) + data[window - 1 :]
+    return pair
 
 
 def variable_ends(data: bytes, p: Chunking) -> list[int]:
@@ -54,13 +75,23 @@ def variable_chunks(files: DataFrame, p: Chunking | None = None, data: str = "da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            column = batch.column(len(own))
+            rows: list[int] = []
+            numbers: list[int] = []
+            chunks: list[bytes] = []
+            held = 0
             for row in range(batch.num_rows):
-                raw = batch.column(len(own))[row].as_py() or b""
-                ends = variable_ends(raw, p)
-                starts = [0, *(e + 1 for e in ends[:-1])]
-                if ends:
-                    take = pa.array([row] * len(ends), pa.int32())
-                    chunks = [raw[a : e + 1] for a, e in zip(starts, ends, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*[batch.column(i).take(take) for i in range(len(own))], pa.array(range(len(ends)), pa.int32()), pa.array(chunks, pa.binary()), pa.array(map(len, chunks), pa.int32())], names=schema.names)
+                raw = column[row].as_py() or b""
+                start = 0
+                for i, end in enumerate(variable_ends(raw, p)):
+                    rows.append(row)
+                    numbers.append(i)
+                    chunks.append(raw[start : end + 1])
+                    start = end + 1
+                held += len(raw)
+                if rows and (held >= FLUSH or row == batch.num_rows - 1):
+                    take = pa.array(rows, pa.int32())
+                    yield pa.RecordBatch.from_arrays([*[batch.column(i).take(take) for i in range(len(own))], pa.array(numbers, pa.int32()), pa.array(chunks, pa.binary()), pa.array(map(len, chunks), pa.int32())], names=schema.names)
+                    rows, numbers, chunks, held = [], [], [], 0
 
     return files.select(*[f.name for f in own], data).mapInArrow(run, schema)

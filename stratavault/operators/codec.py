@@ -1,11 +1,13 @@
 """Secrets to n shares of which any k rebuild them, and back.
 
-Hashes and AES are column expressions; XOR and field arithmetic run in Arrow batches.
+Hashes and AES are column expressions; XOR and field arithmetic run in Arrow
+batches, on all rows of a batch at once.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -14,53 +16,80 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions import binary as B, gf256
 from ..params import Coding
 
+SHARES = T.ArrayType(T.BinaryType())
+
 
 def _hash(c: Coding):
     return hashlib.sha256 if c.pair == "high" else hashlib.md5
 
 
-def _xor(a: bytes, b: bytes) -> np.ndarray:
-    return np.frombuffer(a, np.uint8) ^ np.frombuffer(b, np.uint8)
+def _xor(a: list[bytes], b: list[bytes]) -> list[bytes]:
+    """Row by row, in one pass over all bytes; rows of a pair are of one size."""
+    whole = (np.frombuffer(b"".join(a), np.uint8) ^ np.frombuffer(b"".join(b), np.uint8)).tobytes()
+    ends = np.cumsum([len(x) for x in a]).tolist()
+    return [whole[e - len(x) : e] for e, x in zip(ends, a, strict=True)]
+
+
+def _combined(matrix: np.ndarray, blocks: list[list[bytes]]) -> list[list[bytes]]:
+    """matrix times the blocks (one list of rows for each column), row by row."""
+    sizes = [len(x) for x in blocks[0]]
+    ends = np.cumsum(sizes).tolist()
+    whole = np.frombuffer(b"".join(b"".join(col) for col in blocks), np.uint8).reshape(len(blocks), -1)
+    out = []
+    for row in matrix:
+        one = np.flatnonzero(row)
+        if len(one) == 1 and row[one[0]] == 1:
+            out.append(blocks[one[0]])
+            continue
+        new = gf256.combine(row, whole).tobytes()
+        out.append([new[e - n : e] for e, n in zip(ends, sizes, strict=True)])
+    return out
+
+
+def _split(packages: list[bytes], k: int) -> list[list[bytes]]:
+    """The k blocks of each package, block by block."""
+    return [[x[len(x) // k * j : len(x) // k * (j + 1)] for x in packages] for j in range(k)]
 
 
 def _keystream(size: Column, key: Column, c: Coding) -> Column:
     return B.cipher(B.counter_pattern(size), key) if c.codec == "caont_rs" else B.keystream_by_word(size, key, c.word)
 
 
+def _filled(n: int, at: list[int], values: list) -> list:
+    out: list = [None] * n
+    for i, v in zip(at, values, strict=True):
+        out[i] = v
+    return out
+
+
 def encode(rows: DataFrame, c: Coding | None = None, data: str = "chunk") -> DataFrame:
     """Adds ``shares`` (array of n binaries); an empty or null secret has null shares."""
     c = c or Coding()
     matrix = gf256.dispersal(c.n, c.m) if c.codec == "crsss" else gf256.systematic(c.n, c.m)
     digest, w, k, r = _hash(c), c.word, c.k, c.r
-    shares = T.ArrayType(T.BinaryType())
 
-    def disperse(blocks: np.ndarray) -> list[bytes]:
-        return [gf256.combine(row, blocks).tobytes() for row in matrix]
+    def dispersed(n: int, real: list[int], packages: list[bytes]) -> pd.Series:
+        if not real:
+            return pd.Series([None] * n)
+        return pd.Series(_filled(n, real, [list(s) for s in zip(*_combined(matrix, _split(packages, k)), strict=True)]))
 
-    @F.pandas_udf(shares)
+    @F.pandas_udf(SHARES)
     def package(a: pd.Series, ks: pd.Series, key: pd.Series) -> pd.Series:
-        out = []
-        for x, y, z in zip(a, ks, key, strict=True):
-            if x is None:
-                out.append(None)
-                continue
-            main = _xor(x, y).tobytes()
-            out.append(disperse(np.frombuffer(main + _xor(digest(main).digest(), z).tobytes(), np.uint8).reshape(k, -1)))
-        return pd.Series(out)
-
-    @F.pandas_udf(shares)
+        real = [i for i, x in enumerate(a) if x is not None]
+        mains = _xor([a.iloc[i] for i in real], [ks.iloc[i] for i in real])
+        tails = _xor([digest(x).digest() for x in mains], [key.iloc[i] for i in real])
+        return dispersed(len(a), real, [x + y for x, y in zip(mains, tails, strict=True)])
+
+    @F.pandas_udf(SHARES)
     def hashed_groups(a: pd.Series) -> pd.Series:
-        out = []
-        for x in a:
-            if x is None:
-                out.append(None)
-                continue
-            per = w * (k - r)
-            groups = [x[i : i + per] for i in range(0, len(x), per)]
-            words = [[g[w * j : w * j + w] for g in groups] for j in range(k - r)]
-            hashes = [[digest(g + bytes([j])).digest() for g in groups] for j in range(r)]
-            out.append(disperse(np.frombuffer(b"".join(b"".join(col) for col in words + hashes), np.uint8).reshape(k, -1)))
-        return pd.Series(out)
+        per = w * (k - r)
+        real, packages = [i for i, x in enumerate(a) if x is not None], []
+        for i in real:
+            x = a.iloc[i]
+            groups = [x[at : at + per] for at in range(0, len(x), per)]
+            words = [b"".join(g[w * j : w * j + w] for g in groups) for j in range(k - r)]
+            packages.append(b"".join(words) + b"".join(digest(g + bytes([j])).digest() for j in range(r) for g in groups))
+        return dispersed(len(a), real, packages)
 
     size = F.octet_length(data)
     whole = F.when(size > 0, B.pad_zero(F.col(data), B.aligned_size(size, c)))
@@ -73,62 +102,75 @@ def encode(rows: DataFrame, c: Coding | None = None, data: str = "chunk") -> Dat
     return step.withColumn("shares", package("__a", "__ks", "__key")).drop("__a", "__key", "__ks")
 
 
+def sane(c: Coding, ids: str = "share_ids", shares: str = "kept", size: str = "secret_size") -> Column:
+    """Whether shares can be what they claim: k of them, all of one size that is whole words, distinct numbers below n, and room for the secret."""
+    one = F.octet_length(F.element_at(shares, 1)).cast("long")
+    equal = F.forall(shares, lambda s: s.isNotNull() & (F.octet_length(s) == one))
+    numbers = (F.size(ids) == c.k) & (F.size(F.array_distinct(ids)) == c.k) & F.forall(ids, lambda i: i.isNotNull() & (i >= 0) & (i < c.n))
+    most = one * (c.k - c.r) if c.codec == "crsss" else one * c.k - c.word
+    fits = F.col(size).isNotNull() & (F.col(size) >= 0) & (F.col(size) <= most)
+    counted = F.col(shares).isNotNull() & F.col(ids).isNotNull() & (F.size(shares) == c.k)
+    return F.coalesce(F.when(counted, (one > 0) & (one % c.word == 0) & equal & numbers & fits), F.lit(False))
+
+
 def decode(rows: DataFrame, c: Coding | None = None, ids: str = "share_ids", shares: str = "kept", size: str = "secret_size") -> DataFrame:
     """Adds ``secret`` and ``intact`` from any k shares (``ids`` are their numbers).
 
     ``intact`` tells whether the recomputed hash agrees (always true for aont_rs,
-    which has none); ``secret`` is null where it doesn't, or where sizes can't be right.
+    which has none), and is null where ``sane`` fails; ``secret`` is null in either
+    case.  A bad row never fails the others.
     """
     c = c or Coding()
     digest, w, k, n, m, r = _hash(c), c.word, c.k, c.n, c.m, c.r
-    sane = (F.size(shares) == k) & (F.octet_length(F.element_at(shares, 1)) % w == 0)
-
-    def rebuilt(numbers, parts) -> np.ndarray:
-        inv = gf256.decoding(n, m, tuple(int(i) for i in numbers), c.codec == "crsss")
-        blocks = np.frombuffer(b"".join(parts), np.uint8).reshape(k, -1)
-        return np.stack([gf256.combine(row, blocks) for row in inv])
 
+    def rebuilt(numbers: pd.Series, parts: pd.Series) -> tuple[list[int], list[list[bytes]]]:
+        """(rows that are there, their k blocks), with one matrix for all rows of the same share numbers."""
+        by: dict[tuple, list[int]] = defaultdict(list)
+        for i, p in enumerate(parts):
+            if p is not None:
+                by[tuple(int(x) for x in numbers.iloc[i])].append(i)
+        real: list[int] = []
+        blocks: list[list[bytes]] = []
+        for key, at in by.items():
+            cols = [[parts.iloc[i][j] for i in at] for j in range(k)]
+            real += at
+            blocks += zip(*_combined(gf256.decoding(n, m, key, c.codec == "crsss"), cols), strict=True)
+        return real, blocks
+
+    given = F.when(sane(c, ids, shares, size), F.col(shares))
     if c.codec == "crsss":
 
         @F.pandas_udf("struct<secret: binary, intact: boolean>")
         def regroup(numbers: pd.Series, parts: pd.Series, sizes: pd.Series) -> pd.DataFrame:
-            out = []
-            for i, p, s in zip(numbers, parts, sizes, strict=True):
-                if p is None:
-                    out.append((None, None))
-                    continue
-                b = [x.tobytes() for x in rebuilt(i, p)]
-                secret, ok = [], True
-                for at in range(0, len(b[0]), w):
-                    group = b"".join(b[j][at : at + w] for j in range(k - r))
-                    ok &= all(digest(group + bytes([j])).digest() == b[k - r + j][at : at + w] for j in range(r))
-                    secret.append(group)
-                out.append((b"".join(secret)[: int(s)] if ok else None, ok))
-            return pd.DataFrame(out, columns=["secret", "intact"])
-
-        step = rows.withColumn("__p", F.when(sane, F.col(shares)))
+            real, blocks = rebuilt(numbers, parts)
+            secrets, oks = [], []
+            for i, b in zip(real, blocks, strict=True):
+                groups = [b"".join(b[j][at : at + w] for j in range(k - r)) for at in range(0, len(b[0]), w)]
+                ok = all(b"".join(digest(g + bytes([j])).digest() for g in groups) == b[k - r + j] for j in range(r))
+                secrets.append(b"".join(groups)[: int(sizes.iloc[i])] if ok else None)
+                oks.append(ok)
+            return pd.DataFrame({"secret": _filled(len(parts), real, secrets), "intact": _filled(len(parts), real, oks)})
+
+        step = rows.withColumn("__p", given)
         return step.withColumn("__o", regroup(ids, "__p", size)).withColumns({"secret": F.col("__o.secret"), "intact": F.col("__o.intact")}).drop("__p", "__o")
 
     @F.pandas_udf("struct<main: binary, key: binary>")
     def unpack(numbers: pd.Series, parts: pd.Series) -> pd.DataFrame:
-        out = []
-        for i, p in zip(numbers, parts, strict=True):
-            if p is None:
-                out.append((None, None))
-                continue
-            raw = rebuilt(i, p).tobytes()
-            main, tail = raw[:-w], raw[-w:]
-            out.append((main, _xor(digest(main).digest(), tail).tobytes()))
-        return pd.DataFrame(out, columns=["main", "key"])
+        real, blocks = rebuilt(numbers, parts)
+        raw = [b"".join(b) for b in blocks]
+        mains = [x[:-w] for x in raw]
+        keys = _xor([digest(x).digest() for x in mains], [x[-w:] for x in raw])
+        return pd.DataFrame({"main": _filled(len(parts), real, mains), "key": _filled(len(parts), real, keys)})
 
     @F.pandas_udf("binary")
     def unmask(main: pd.Series, ks: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else _xor(x, y).tobytes() for x, y in zip(main, ks, strict=True)])
+        real = [i for i, x in enumerate(main) if x is not None]
+        return pd.Series(_filled(len(main), real, _xor([main.iloc[i] for i in real], [ks.iloc[i] for i in real])))
 
-    step = rows.withColumn("__u", unpack(ids, F.when(sane, F.col(shares))))
+    step = rows.withColumn("__u", unpack(ids, given))
     step = step.withColumn("__ks", _keystream(F.octet_length("__u.main"), F.col("__u.key"), c))
     step = step.withColumn("__a", unmask("__u.main", "__ks"))
-    intact = F.lit(True) if c.codec == "aont_rs" else B.pair_hash(F.col("__a"), c) == F.col("__u.key")
+    intact = F.when(F.col("__a").isNotNull(), F.lit(True) if c.codec == "aont_rs" else B.pair_hash(F.col("__a"), c) == F.col("__u.key"))
     step = step.withColumn("intact", intact)
     return step.withColumn("secret", F.when(F.col("intact"), F.substring(F.col("__a"), F.lit(1), F.col(size).cast("int")))).drop("__u", "__ks", "__a")
 

@@ -6,14 +6,21 @@ Bytes never enter; join them back for the new shares only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 
 def intra_user(shares: DataFrame) -> DataFrame:
-    """Adds dup: the user had the share before this batch.  Repeats within a batch aren't duplicates."""
-    first = shares.groupBy("user_id", "fp").agg(F.min("seq").alias("first_seq"))
-    on = F.col("s.user_id").eqNullSafe(F.col("f.user_id")) & (F.col("s.fp") == F.col("f.fp"))
-    return shares.alias("s").join(first.alias("f"), on).select("s.*", (F.col("s.seq") > F.col("f.first_seq")).cast("int").alias("dup"))
+    """Adds dup: the user had the share before this batch.  Repeats within a batch aren't duplicates.
+
+    One pass and one shuffle: a window has the first batch of each user's share, so
+    chunks are cut and hashed once.  Rows hold no bytes, so a share that one user has
+    very often spills like any sort.
+    """
+    first = F.min("seq").over(W.partitionBy("user_id", "fp"))
+    return shares.withColumn("dup", (F.col("seq") > first).cast("int"))
 
 
 def inter_user(shares: DataFrame) -> DataFrame:
@@ -31,44 +38,69 @@ def ref_counts(shares: DataFrame) -> DataFrame:
     return shares.groupBy("fp", "user_id").agg(F.count("*").alias("ref_cnt"))
 
 
+def _by_owner(shares: DataFrame) -> DataFrame:
+    """One row for each share and user: occurrences, their bytes, the first batch and what it brought, the first arrival."""
+    order = F.struct("seq", "secret_id", "user_id", "share_size")
+    per = shares.groupBy("fp", "user_id", "seq").agg(F.count("*").alias("n"), F.sum("secret_size").alias("bytes"), F.sum("share_size").alias("share_bytes"), F.min(order).alias("x"))
+    return per.groupBy("fp", "user_id").agg(
+        F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.sum("share_bytes").alias("share_bytes"),
+        F.min(F.struct("seq", F.col("share_bytes").alias("sent"))).alias("first"), F.min("x").alias("x"),
+    )
+
+
 def share_index(shares: DataFrame) -> DataFrame:
-    """Per share its size, owners and references; ``users`` maps user to references."""
-    per = ref_counts(shares).where("user_id is not null")
-    users = per.groupBy("fp").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("user_id", "ref_cnt")))).alias("users"), F.count("*").alias("num_users"), F.sum("ref_cnt").alias("refs"))
-    return inter_user(shares).join(users, "fp", "left")
+    """Per share its size, owners and references; ``users`` maps user to references.  One aggregate by (share, user) serves all."""
+    owned = F.col("user_id").isNotNull()
+    per = _by_owner(shares.withColumn("secret_size", F.lit(0)))
+    out = per.groupBy("fp").agg(
+        F.min("x").alias("x"), F.array_sort(F.collect_list(F.when(owned, F.struct("user_id", F.col("n").alias("ref_cnt"))))).alias("u"),
+        F.count("user_id").alias("num_users"), F.sum(F.when(owned, F.col("n"))).alias("refs"),
+    )
+    some = F.col("num_users") > 0
+    return out.select("fp", "x.*", F.when(some, F.map_from_entries("u")).alias("users"), F.when(some, F.col("num_users")).alias("num_users"), "refs")
 
 
 def transfer_stats(shares: DataFrame, clouds: int) -> DataFrame:
-    """Per user: chunks, logical, share, transferred and (of shares it brought first) physical bytes, over all clouds."""
-    marked = intra_user(shares)
-    by = marked.groupBy("user_id").agg(
-        F.count("*").alias("n_chunks"), F.sum("secret_size").alias("logical_bytes"),
-        (F.sum("share_size") * clouds).alias("share_bytes"), (F.sum(F.when(F.col("dup") == 0, F.col("share_size")).otherwise(0)) * clouds).alias("transferred_bytes"),
+    """Per user: chunks, logical, share, transferred and (of shares it brought first) physical bytes, over all clouds.
+
+    From one aggregate by (share, user): what the user's first batch with a share
+    brought is transferred, and the share is stored for the user of its first arrival.
+    """
+    per = _by_owner(shares)
+    brought = F.min("x").over(W.partitionBy("fp"))
+    marked = per.withColumn("stored", F.when((brought == F.col("x")), F.col("x.share_size")).otherwise(0))
+    return marked.groupBy("user_id").agg(
+        F.sum("n").alias("n_chunks"), F.sum("bytes").alias("logical_bytes"), (F.sum("share_bytes") * clouds).alias("share_bytes"),
+        (F.sum("first.sent") * clouds).alias("transferred_bytes"), (F.sum("stored") * clouds).alias("physical_bytes"),
     )
-    stored = inter_user(shares).groupBy("user_id").agg((F.sum("share_size") * clouds).alias("physical_bytes")).withColumnRenamed("user_id", "u")
-    return by.join(stored, F.col("user_id").eqNullSafe(F.col("u")), "left").drop("u").withColumn("physical_bytes", F.coalesce("physical_bytes", F.lit(0)))
 
 
 def upload_batches(shares: DataFrame, by: list[str], limit: int, size: str = "share_size", order: list[str] | None = None) -> DataFrame:
-    """Adds batch and offset: in order, a batch closes when the next share would exceed ``limit``."""
-    import pyarrow as pa
-    from pyspark.sql import types as T
+    """Adds batch and offset: in order, a batch closes when the next share would exceed ``limit``.
 
+    The rule depends on all earlier shares of a group, so a group is one task's, but
+    its rows stream through in sorted order and only (batch, bytes used) is kept.
+    """
     order = order or ["secret_id"]
     schema = T.StructType([*shares.schema.fields, T.StructField("batch", T.LongType()), T.StructField("offset", T.LongType())])
-
-    def fold(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in order])
-        batches, offsets, batch, used = [], [], 0, 0
-        for n in table.column(size).to_pylist():
-            if used + n > limit and used:
-                batch, used = batch + 1, 0
-            batches.append(batch)
-            offsets.append(used)
-            used += n
-        return table.append_column("batch", pa.array(batches, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
-
-    return shares.groupBy(*by).applyInArrow(fold, schema)
+    keys, weight = [shares.columns.index(c) for c in by], shares.columns.index(size)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, batch, used = None, 0, 0
+        for rows in batches:
+            groups = zip(*(rows.column(i).to_pylist() for i in keys), strict=True)
+            numbers, offsets = [], []
+            for group, n in zip(groups, rows.column(weight).to_pylist(), strict=True):
+                if group != last:
+                    last, batch, used = group, 0, 0
+                elif used + n > limit and used:
+                    batch, used = batch + 1, 0
+                numbers.append(batch)
+                offsets.append(used)
+                used += n
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(numbers, pa.int64()), pa.array(offsets, pa.int64())], names=schema.names)
+
+    return shares.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(fold, schema)
 
 
 def batch_counts(batched: DataFrame, by: list[str]) -> DataFrame:

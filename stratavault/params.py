@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 # fixed values
+MAX_SECRET = 64 << 10  # bytes that a codec takes at once
+CACHE_SLOTS = 4  # containers that restore keeps at hand
 CODECS = {"crsss": 0, "aont_rs": 1, "caont_rs_old": 2, "caont_rs": 3}
 BUFFER_BYTES = 4 << 20  # of an upload batch and of a container
 IDLE_SECONDS = 1800
@@ -49,6 +51,11 @@ class Coding:
     def k(self) -> int:
         return self.n - self.m
 
+    @property
+    def sizes(self) -> tuple[int, int, int]:
+        """Bytes of the pair's hash, its key and a cipher block."""
+        return self.word, self.word, 16
+
     @property
     def word(self) -> int:
         """Bytes of a hash, which is also the key."""

@@ -121,3 +121,213 @@ def test_stream_equals_one_upload(spark, tmp_path):
 def test_hashes_match_python(spark):
     r = catalogue.queries()["file_fingerprint"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").first()
     assert r["sha256"] == hashlib.sha256(r["text"].encode()).hexdigest()
+
+
+def test_files_out_and_in(spark, tmp_path):
+    from stratavault.sources.files import read_clouds, read_files, write_files
+
+    rows = [("a", 0, b"one "), ("a", 1, b"two"), ("b", 0, b"\0" * 70000)]
+    chunks = spark.createDataFrame([(n, i, bytearray(x)) for n, i, x in rows], "name string, secret_id int, chunk binary")
+    out = write_files(chunks.repartition("name").sortWithinPartitions("name", "secret_id"), str(tmp_path / "out")).collect()
+    assert {(r["path"].rpartition("/")[2], r["file_size"], r["sha256"]) for r in out} == {("a", 7, hashlib.sha256(b"one two").hexdigest()), ("b", 70000, hashlib.sha256(b"\0" * 70000).hexdigest())}
+    back = {r["path"].rpartition("/")[2]: (bytes(r["data"]), r["file_size"], r["user_id"]) for r in read_files(spark, str(tmp_path / "out"), 7).collect()}
+    assert back == {"a": (b"one two", 7, 7), "b": (b"\0" * 70000, 70000, 7)}
+    (tmp_path / "config").write_text("10.0.0.1:11030\n10.0.0.2:11031\n")
+    assert [tuple(r) for r in read_clouds(spark, str(tmp_path / "config")).orderBy("cloud").collect()] == [(0, "10.0.0.1", 11030), (1, "10.0.0.2", 11031)]
+
+
+def test_bad_shares_never_fail_the_others(spark):
+    good = codec.encode(spark.createDataFrame([(0, bytearray(b"abc" * 50), 150)], "i int, chunk binary, secret_size int")).collect()[0]
+    s = [bytes(x) for x in good["shares"]]
+    cases = [
+        ([0, 1, 2], s[:3], 150, b"abc" * 50), ([3, 1, 0], [s[3], s[1], s[0]], 150, b"abc" * 50), ([0, 1, 2], [s[0], s[1], s[2][:32]], 150, None), ([0, 0, 1], [s[0], s[0], s[1]], 150, None),
+        ([0, 1, 4], s[:3], 150, None), ([0, 1], s[:2], 150, None), ([0, 1, 2], s[:3], 100_000, None), ([0, 1, 2], s[:3], -1, None), ([0, 1, 2], [s[0], None, s[2]], 150, None), ([0, 1, 2], [x[:31] for x in s[:3]], 10, None),
+        ([0, 1, 2], None, 150, None), ([0, None, 2], s[:3], 150, None), ([0, 1, 2], s[:3], None, None), ([0, 1, 2], [b""] * 3, 0, None), ([1, 0, 2], s[:3], 150, None),
+    ]
+    rows = spark.createDataFrame([(k, i, None if p is None else [None if x is None else bytearray(x) for x in p], n) for k, (i, p, n, _) in enumerate(cases)], "k int, share_ids array<int>, kept array<binary>, secret_size int")
+    for coding in (Coding(), Coding(codec="caont_rs_old")):
+        got = {r["k"]: r["secret"] for r in codec.decode(rows, coding).collect()}
+        if coding.codec == "caont_rs":
+            assert [got[k] and bytes(got[k]) for k in range(len(cases))] == [w for *_, w in cases]
+    assert codec.decode(rows, Coding(codec="crsss")).where("secret is not null").count() == 0
+
+
+def test_vault(spark, tmp_path):
+    from stratavault.operators import shares as S
+    from stratavault.plans.vault import Vault
+
+    rng = np.random.default_rng(4)
+    block = rng.integers(0, 256, 5000, dtype=np.uint8).tobytes()
+    files = [(0, 1, "/a/x", block), (1, 1, "y", block[:3000] + b"new"), (2, 2, "/a/x", block), (3, 2, "../bad", b"gone"), (4, 2, "empty", b"")]
+    make = lambda rows: spark.createDataFrame([(s, u, p, bytearray(d)) for s, u, p, d in rows], "seq long, user_id int, path string, data binary")
+    vault = Vault(spark, str(tmp_path / "v"), variable=Chunking(64, 128, 256), container_bytes=2000)
+    vault.upload(make(files), 0)
+    second = [(5, 1, "/a/x", block[::-1]), (6, 2, "z", block)]
+    vault.upload(make(second), 1)
+    vault.upload(make(second), 1)  # a batch that is uploaded again replaces itself
+
+    def restored(user: int, path: str, back: int = 0, clouds=None):
+        asked = spark.createDataFrame([(user, path)], "user_id int, path string")
+        rows = vault.restore(vault.request(asked, back), clouds).collect()
+        return b"".join(bytes(r["chunk"]) for r in sorted(rows, key=lambda r: r["secret_id"]))
+
+    assert restored(1, "a/x") == block[::-1] and restored(1, "a/x", 1) == block and restored(2, "/z") == block
+    for lost in range(4):
+        assert restored(1, "y", clouds=[c for c in range(4) if c != lost]) == block[:3000] + b"new"
+    assert restored(1, "y", clouds=[0, 1]) == b"" and restored(3, "a/x") == b"" and restored(2, "../bad") == b"" and restored(2, "empty") == b""
+    index = vault.index()
+    assert index.count() == index.select("cloud", "share_fp").distinct().count()
+    held = vault.committed("containers")
+    assert held.where("octet_length(data) > 2000").count() == 0 and held.groupBy("batch", "cloud", "user_id").count().count() > 4
+    assert {tuple(r)[1:] for r in vault.verify().collect()} == {(index.count() // 4, 0)}
+    stats = {r["cloud"]: r for r in vault.stats().collect()}
+    assert len(stats) == 4 and all(r["stored_bytes"] < r["logical_bytes"] for r in stats.values())
+    assert vault.refs().agg(F.sum("ref_cnt")).first()[0] == vault.committed("recipes").count()
+    # one flipped byte in each container of one cloud: found by verification, survived by restore
+    rows = held.withColumn("data", F.when(F.col("cloud") == 2, F.concat(F.unhex(F.when(F.hex(F.substring("data", 1, 1)) == "00", "01").otherwise("00")), F.substring("data", F.lit(2), F.lit(1 << 20)))).otherwise(F.col("data")))
+    bad = rows.where("cloud = 2").count()
+    rows.write.partitionBy("batch").parquet(str(tmp_path / "tampered"))
+    (tmp_path / "v" / "containers").rename(tmp_path / "was")
+    (tmp_path / "tampered").rename(tmp_path / "v" / "containers")
+    assert {r["cloud"]: r["n_bad"] for r in vault.verify().collect()} == {0: 0, 1: 0, 2: bad, 3: 0}
+    assert restored(2, "z") == block and restored(1, "a/x") == block[::-1]
+    # a batch whose files table is missing never happened
+    (tmp_path / "v" / "files" / "batch=1").rename(tmp_path / "lost")
+    assert restored(1, "a/x") == block and restored(2, "z") == b""
+    with pytest.raises(ValueError):
+        Vault(spark, str(tmp_path / "w"), Coding(codec="aont_rs"))
+    assert S.verified(spark.createDataFrame([(None, "x")], "share binary, share_fp string")).first()["ok"] is False
+
+
+def test_sorted_table_as_a_model(spark, tmp_path):
+    from stratavault.operators import keyvalue
+    from stratavault.sources.tables import SortedTable, exists
+
+    rng = np.random.default_rng(6)
+    table, model, log, seq = SortedTable(spark, str(tmp_path / "t"), files=2), {}, [], 0
+    assert table.log() is None
+    snapshots = []
+    for step in range(6):
+        rows = []
+        for _ in range(40):
+            key, seq = int(rng.integers(0, 50)), seq + 1
+            if rng.random() < 0.45:
+                rows.append((key, seq, "del", None))
+                model.pop(key, None)
+            else:
+                rows.append((key, seq, "put", float(rng.integers(0, 99))))
+                model[key] = rows[-1][3]
+        log += rows
+        table.write(spark.createDataFrame(rows, "key long, seq long, op string, value double"))
+        snapshots.append(dict(model))
+        if step == 3:
+            table.compact(10, 30)
+    state = lambda version=None: {r["key"]: r["value"] for r in keyvalue.latest(table.log(version)).collect()}
+    assert state() == model and state(1) == snapshots[1]
+    assert [(r["key"], r["value"]) for r in table.get([3, 7, 12]).orderBy("key").collect()] == [(k, model[k]) for k in (3, 7, 12) if k in model]
+    assert [r["key"] for r in keyvalue.scan(table.log(), 10, 40).collect()] == sorted(k for k in model if 10 <= k < 40)
+    assert [r["key"] for r in keyvalue.seek(table.log(), 20, 3, reverse=True).collect()] == sorted((k for k in model if k <= 20), reverse=True)[:3]
+    assert [r["key"] for r in keyvalue.scan(table.log(), comparator=lambda key: key % 7 * 100 + key).collect()] == sorted(model, key=lambda k: (k % 7, k))
+    # half a segment, then lost manifests
+    (tmp_path / "t" / "segment-half").mkdir()
+    for f in (tmp_path / "t" / "manifest").iterdir():
+        f.unlink()
+    table.repair()
+    assert state() == model and table.stats().agg(F.sum("n_changes")).first()[0] >= len(model)
+    table.compact()
+    table.vacuum()
+    assert state() == model and table.log().where("op = 'del'").count() == 0 and table.dump().select("file").distinct().count() <= 2
+    table.destroy()
+    assert not exists(spark, str(tmp_path / "t"))
+
+
+def test_tiers(spark, tmp_path):
+    from stratavault.sources.tables import Tiers, exists, make_folder, readable, size_of
+
+    cache, backend = str(tmp_path / "cache"), str(tmp_path / "backend")
+    make_folder(spark, cache)
+    tiers = Tiers(spark, cache, backend, 25)
+    for name in "abc":
+        (tmp_path / "cache" / name).write_bytes(name.encode() * 10)
+        tiers.add(name)
+    assert list(tiers.used) == ["a", "b", "c"] and not exists(spark, f"{backend}/a")
+    assert tiers.drain() == 3 and list(tiers.used) == ["b", "c"] and not exists(spark, f"{cache}/a") and size_of(spark, backend) == 30
+    tiers.open("b")
+    assert open(tiers.open("a"), "rb").read() == b"a" * 10 and list(tiers.used) == ["b", "a"]
+    assert readable(spark, f"{backend}/c") and not readable(spark, f"{backend}/d")
+    with pytest.raises(FileNotFoundError):
+        tiers.open("d")
+
+
+def test_encodings(spark):
+    from stratavault.functions import encodings as E
+
+    # CRC-32C vectors of RFC 3720
+    rows = [(bytearray(32),), (bytearray(b"\xff" * 32),), (bytearray(range(32)),), (bytearray(b"123456789"),), (bytearray(b""),), (None,)]
+    got = spark.createDataFrame(rows, "d binary").select(E.crc32c(F.col("d")).alias("c"), E.unmasked(E.masked(E.crc32c(F.col("d")))).alias("m"), E.masked(E.crc32c(F.col("d"))).alias("k")).collect()
+    assert [r["c"] for r in got] == [0x8A9136AA, 0x62A8AB43, 0x46DD794E, 0xE3069283, 0, None]
+    assert [r["m"] for r in got] == [r["c"] for r in got] and all(r["k"] != r["c"] for r in got[:5])
+    assert E.crc32c_of(b"6789", E.crc32c_of(b"12345")) == 0xE3069283
+    numbers = [0, 1, 127, 128, 300, 16383, 16384, 1 << 31, (1 << 63) - 1]
+    v = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", E.varint(F.col("n")).alias("v"), E.read_varint(E.varint(F.col("n"))).alias("back"), E.fixed(F.col("n"), 8).alias("f")).collect()
+
+    def slow(n: int) -> bytes:
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + slow(n >> 7)
+
+    assert all(bytes(r["v"]) == slow(r["n"]) and r["back"] == r["n"] and int.from_bytes(r["f"], "little") == r["n"] for r in v)
+    assert len({E.hash_of(b"x" * k, 7) for k in range(40)}) == 40 and E.hash_of(b"", 5) == 5
+    assert abs(spark.range(1).select(E.epoch_seconds() - E.epoch_seconds(F.current_timestamp())).first()[0]) < 1
+
+
+@pytest.mark.parametrize("width", [4, 8, 16, 32])
+def test_field_widths(width):
+    rng = np.random.default_rng(width)
+    top = (1 << width) - 1
+    for _ in range(20):
+        a, b, c = (int(x) for x in rng.integers(1, top, 3, endpoint=True))
+        assert gf256.product(a, gf256.inverse_in(a, width), width) == 1
+        assert gf256.product(a, b ^ c, width) == gf256.product(a, b, width) ^ gf256.product(a, c, width)
+    data = rng.integers(0, 256, 24, dtype=np.uint8).tobytes()
+    out = gf256.region_in(a, data, width)
+    assert all(gf256.extract_word(out, width, i) == gf256.product(a, gf256.extract_word(data, width, i), width) for i in range(24 * 8 // width))
+
+
+def test_cauchy_variants():
+    plain, better = gf256.cauchy(3, 4, 3), gf256.good(3, 4)
+    ones = lambda m: sum(gf256.bit_ones(int(a)) for a in m.ravel())
+    assert ones(better) < ones(plain) and (better[0] == 1).all()
+    for m in (plain, better, gf256.improved(plain), gf256.good(2, 6), gf256.cauchy_of([1, 2, 9], [3, 4, 5, 6])):
+        code = np.vstack([np.eye(m.shape[1], dtype=np.uint8), m])
+        assert all(gf256.invert(code[list(rows)]) is not None for rows in itertools.combinations(range(len(code)), m.shape[1]))
+    with pytest.raises(ValueError):
+        gf256.cauchy_of([1, 2], [2, 3])
+
+
+def test_caches_as_the_plain_rule(spark):
+    from stratavault.operators import caching
+
+    rng = np.random.default_rng(9)
+    rows = [(i, int(rng.integers(0, 12)), f"g{i % 2}") for i in range(400)]
+    reads = spark.createDataFrame([(i, x, g, x + 1) for i, x, g in rows], "i long, item long, g string, size long")
+    got = {r["i"]: (r["hit"], r["evicted"]) for r in caching.lru(reads, "item", "i", 30, ["g"], "size").collect()}
+    held = {"g0": [], "g1": []}
+    for i, x, g in rows:
+        c, hit, gone = held[g], x in held[g], 0
+        c[:] = [y for y in c if y != x] + [x]
+        while sum(y + 1 for y in c) > 30 and len(c) > 1:
+            c.pop(0)
+            gone += 1
+        assert got[i] == (hit, gone)
+    assert caching.lru(reads.limit(0), "item", "i", 3, ["g"]).count() == 0
+
+
+def test_a_file_may_span_batches(spark, tmp_path):
+    from stratavault.plans.upload import share_rows
+    from stratavault.sources.files import documents_as_files
+
+    # the chunks of one file arrive in parts: past and coming counts go on, and the file is complete in the end
+    s = share_rows(documents_as_files(spark, SF).drop("path"))
+    batched = dedup.batch_counts(dedup.upload_batches(s, ["doc_id"], 1024), ["doc_id"])
+    ends = batched.groupBy("doc_id").agg(F.max(F.col("past_bytes") + F.col("coming_bytes")).alias("n"))
+    want = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.octet_length("text").alias("size"))
+    assert ends.join(want, "doc_id").where("n <> size").count() == 0
