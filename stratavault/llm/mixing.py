@@ -17,8 +17,9 @@ def word_count(text: Column) -> Column:
 
 
 def _uniform(*cols: Column, seed: int) -> Column:
-    """A number strictly between 0 and 1 that the arguments decide."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    """A number strictly between 0 and 1 that the arguments decide: 48 bits of an MD5."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("")) for c in cols]).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") + 0.5) / float(1 << 48)
 
 
 def source_targets(sizes: DataFrame, share: float, weights: tuple[float, ...], most: float) -> DataFrame:
@@ -62,8 +63,9 @@ def mix(
     weights: tuple[float, ...] = (3.0, 1.0, 2.0),
     most: float = 2.0,
     seed: int = 20,
+    carry: bool = False,
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, inclusion, digest, copies, taken) per row of ``docs``.
+    """(doc_id, source, size, source_size, target, inclusion, digest, copies, taken[, payload]) per row of ``docs``.
 
     A source's ratio is its target over its size.  Every document gets the whole
     copies in the ratio for certain.  One more copy goes by Pareto order sampling:
@@ -75,10 +77,12 @@ def mix(
 
     A null text has size 0, a null source is a source of its own, null and repeated
     ids are rows like others (equal rows tie and may be split by the cut; which of
-    them is taken makes no difference).  Reruns agree.  An empty table gives an
+    them is taken makes no difference).  Reruns agree.  ``payload`` has a row's own
+    columns, whatever their names.  An empty table gives an
     empty result.
     """
-    slim = ws.put(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("digest")), "slim")
+    payload = [F.struct(*docs.columns).alias("payload")] * carry
+    slim = ws.put(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("digest"), *payload), "slim")
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     sizes = ws.put(sizes, "sizes")
     n_sources = sizes.count()
@@ -136,4 +140,4 @@ def mix(
     edge = edge.withColumn("extra", near.cast("int"))
     rest = placed.where(~F.coalesce(at_cut, F.lit(False))).withColumn("extra", F.when(F.col("due") <= 0, 0).when(F.col("at_big") < 0, 1).when(F.col("cut_bin").isNull(), 0).otherwise((F.col("bin") < F.col("cut_bin")).cast("int")))
     both = rest.unionByName(edge).withColumn("copies", (F.col("certain") + F.col("extra")).cast("int"))
-    return both.select("doc_id", "source", "size", "source_size", "target", "inclusion", "digest", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return both.select("doc_id", "source", "size", "source_size", "target", "inclusion", "digest", "copies", (F.col("size") * F.col("copies")).alias("taken"), *["payload"] * carry)

@@ -49,12 +49,12 @@ def _measured(schema: pa.Schema, text: str):
     return run
 
 
-def with_stats(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+def with_stats(docs: DataFrame, text: str, keep: list[str], prefix: str = "__") -> DataFrame:
     """``keep`` columns and, under a private prefix, every count of the text."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     src = docs.select(*keep, *([] if text in keep else [text]))
-    out = T.StructType(src.schema.fields + [T.StructField(f"__{k}", T.LongType()) for k in STATS])
+    out = T.StructType(src.schema.fields + [T.StructField(f"{prefix}{k}", T.LongType()) for k in STATS])
     return src.mapInArrow(_measured(to_arrow_schema(out), text), out)
 
 
@@ -96,27 +96,33 @@ def em_posteriors(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60)
     return {p: float(x) for (p, _), x in zip(patterns, post, strict=True)}
 
 
+def free_prefix(columns: list[str]) -> str:
+    """Underscores, two at least, that no column begins with."""
+    return "_" * (1 + max(1, *(len(c) - len(c.lstrip("_")) for c in columns)))
+
+
 def score_quality(spark: SparkSession, docs: DataFrame, text: str = "text", keep: list[str] | None = None, threshold: float = 0.5, ws=None) -> DataFrame:
     """``keep`` columns (all by default) with the counts and the verdict of each row.
 
-    Added columns, prefixed ``__`` so that they clash with nothing: the counts of
-    ``textstats.measure``, ``__votes``, ``__posterior``, ``__base_failed``, ``__kept``.
-    A null or empty text has no words and fails the base; repeated rows are judged
-    alike; an empty table gives an empty result.  The vote patterns that reach the
-    driver are at most 3 ** len(RULES), whatever the input.
+    Added columns, prefixed with ``free_prefix`` of the kept ones so that they clash
+    with nothing: the counts of ``textstats.measure``, votes, posterior, base_failed,
+    kept.  A null or empty text has no words and fails the base; repeated rows are
+    judged alike; an empty table gives an empty result.  The vote patterns that reach
+    the driver are at most 3 ** len(RULES), whatever the input.
     """
     keep = keep or docs.columns
-    stats = with_stats(docs, text, keep)
-    coded = F.concat_ws("", *[vote(f"__{a}", f"__{b}", g, x).cast("string") for _, a, b, g, x in RULES])
-    base = (F.col("__n_words") < MIN_WORDS) | (100 * F.col("__n_repeat_words") > 50 * F.col("__n_words"))
-    stats = stats.withColumns({"__votes": coded, "__base_failed": base})
+    at = free_prefix(keep)
+    stats = with_stats(docs, text, keep, at)
+    coded = F.concat_ws("", *[vote(f"{at}{a}", f"{at}{b}", g, x).cast("string") for _, a, b, g, x in RULES])
+    base = (F.col(f"{at}n_words") < MIN_WORDS) | (100 * F.col(f"{at}n_repeat_words") > 50 * F.col(f"{at}n_words"))
+    stats = stats.withColumns({f"{at}votes": coded, f"{at}base_failed": base})
     if ws is not None:
         stats = ws.put(stats, "stats")
         counted = stats
     else:
-        counted = with_stats(docs, text, [text]).withColumn("__votes", coded)
-    rows = counted.groupBy("__votes").count().collect()
+        counted = with_stats(docs, text, [text], at).withColumn(f"{at}votes", coded)
+    rows = counted.groupBy(f"{at}votes").count().collect()
     post = em_posteriors(sorted((tuple(map(int, r[0])), r[1]) for r in rows))
     table = F.create_map(*[F.lit(x) for p, v in sorted(post.items()) for x in ("".join(map(str, p)), v)]) if post else None
-    posterior = table[F.col("__votes")] if post else F.lit(PRIOR_GOOD)
-    return stats.withColumn("__posterior", posterior).withColumn("__kept", ~F.col("__base_failed") & (F.col("__posterior") >= threshold))
+    posterior = table[F.col(f"{at}votes")] if post else F.lit(PRIOR_GOOD)
+    return stats.withColumn(f"{at}posterior", posterior).withColumn(f"{at}kept", ~F.col(f"{at}base_failed") & (F.col(f"{at}posterior") >= threshold))

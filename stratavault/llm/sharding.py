@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
 from .workspace import Workspace
 
-#: Rows are numbered within (shard, bin); the table of offsets has shards x BINS rows at most and is broadcast.
+#: Rows are numbered within (shard, bin), bins being told apart by one byte; the table of offsets has shards x BINS rows at most and is broadcast.
 BINS = 256
 
 
@@ -33,12 +33,13 @@ def shard(spark: SparkSession, docs: DataFrame, ws: Workspace, shards: int = 16,
 
     The law is ``key``: id and shard count alone decide.  size is UTF-8 bytes plus 1,
     a null text has none; slots are gapless from 0 in each shard, in the order of
-    (bin of the id's hash, id, crc).  Null ids hash as the empty string; repeated ids
-    share a shard and take a slot each.  An empty table gives an empty result.
+    (bin, id, crc), the bin being the first byte of an MD5 of id and crc, so that one
+    id's rows are in many bins.  Null ids hash as the empty string; repeated ids share
+    a shard and take a slot each.  An empty table gives an empty result.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     slim = docs.select(F.col(doc_id).alias("doc_id"), (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"))
-    placed = slim.withColumns({"shard": jump_shard(key, shards, seed), "grown_shard": jump_shard(key, shards + 1, seed), "bin": F.pmod(F.xxhash64("doc_id"), F.lit(BINS)).cast("int")})
+    placed = slim.withColumns({"shard": jump_shard(key, shards, seed), "grown_shard": jump_shard(key, shards + 1, seed), "bin": F.conv(F.substring(F.md5(F.concat_ws(":", key, F.col("text_crc32").cast("string")).cast("binary")), 1, 2), 16, 10).cast("int")})
     placed = ws.put(placed, "placed")
     counts = placed.groupBy("shard", "bin").count()
     upto = W.partitionBy("shard").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)

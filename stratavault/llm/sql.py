@@ -40,3 +40,42 @@ links as materialized (select p.vec_id as a, q.vec_id as b from good p join good
 n_of as (select a as node, count(*) as n from links group by a)
 select vec_id, coalesce(n, 0)::bigint as n_links, least(vec_id, coalesce(least, vec_id)) as component_id, coalesce(least >= vec_id, true) as kept
 from v left join n_of on n_of.node = vec_id left join least_of on least_of.node = vec_id"""
+
+_WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
+_DRAW = "((('0x' || substr(md5({}), 1, 12))::bigint + 0.5) / 281474976710656.0)"
+
+#: The fixed point of the targets by water level, then every document in Pareto order: it is in the sample if the words before it are short of those due by half of its own or more.
+OP3 = f"""with
+d as (select doc_id, source, {_WORDS}::bigint as size, md5(coalesce(text, '')) as digest from documents),
+s as (select source, sum(size)::bigint as source_size, count(*) as n from d group by source),
+w as (select *, source_size * 2.0::double as cap, [3.0::double, 1.0::double, 2.0::double][((row_number() over (order by source is null, encode(source)) - 1) % 3 + 1)::int] as weight from s),
+l as (select *, (sum(source_size) over ()) * 1.5::double as total, sum(weight) over () - coalesce(sum(weight) over b, 0) as w_left, coalesce(sum(cap) over b, 0) as c_used
+  from w window b as (order by cap / weight, source is null, encode(source) rows between unbounded preceding and 1 preceding)),
+o as (select *, case when cap >= (total - c_used) / w_left * weight then (total - c_used) / w_left end as open_level from l),
+f as (select *, first_value(open_level ignore nulls) over (order by cap / weight, source is null, encode(source) rows between unbounded preceding and current row) as water from o),
+t as (select source, source_size, n, greatest(case when water is null then cap else least(cap, water * weight) end, 0.0::double) as target from f),
+r as (select *, case when source_size > 0 then target / source_size else 0.0::double end as ratio from t),
+c as (select *, floor(ratio + 1e-12::double) as certain, greatest(ratio - floor(ratio + 1e-12::double), 0.0::double) as rest from r),
+x as (select d.*, c.source_size, c.target, c.certain, c.rest * c.source_size as due, rest / (1 - least(rest, 1 - 1e-9::double)) * pow((size + 1)::double / (c.source_size::double / n + 1), -0.1::double) as odds,
+  {_DRAW.format("'20:' || coalesce(doc_id::varchar, '') || ':' || digest")} as u from d join c on d.source is not distinct from c.source),
+k as (select *, (u / (1 - u)) / greatest((odds / (1 + odds)) / (1 - odds / (1 + odds)), 1e-12::double) as rank from x),
+e as (select *, coalesce(sum(size) over (partition by source order by rank / (1 + rank), doc_id nulls first, digest rows between unbounded preceding and 1 preceding), 0) as earlier from k)
+select doc_id, size, source_size, target, (certain + (due > 0 and earlier < due and 2 * (due - earlier) >= size)::int)::int as copies,
+  (size * (certain + (due > 0 and earlier < due and 2 * (due - earlier) >= size)::int))::bigint as taken from e"""
+
+#: CRC-32 is linear: each byte adds what its bits become in as many zero bytes as follow it.  The jumps of a key go on to the first shard beyond the last.
+OP6 = f"""with recursive
+t as (select n, n as c, 0 as k from (select unnest(range(256)) as n) union all select n, case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end, k + 1 from t where k < 8),
+tab as materialized (select n, c from t where k = 8),
+d as materialized (select row_number() over () as i, doc_id, coalesce(doc_id::varchar, '') as key, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, ''))::bigint as n from documents),
+basis as (select 0::bigint as far, n as bit, c from tab where n in (1, 2, 4, 8, 16, 32, 64, 128)
+  union all select far + 1, bit, xor(basis.c >> 8, tab.c) from basis join tab on tab.n = basis.c & 255 where far < (select max(n) from d)),
+start as (select 0::bigint as n, 4294967295::bigint as c union all select start.n + 1, xor(start.c >> 8, tab.c) from start join tab on tab.n = start.c & 255 where start.n < (select max(n) from d)),
+b as (select i, n - 1 - p as far, ('0x' || substr(h, (2 * p + 1)::int, 2))::bigint as v from (select *, unnest(range(0, n)) as p from d)),
+sums as (select i, bit_xor(c) as c from b join basis on b.far = basis.far and v & bit <> 0 group by i),
+crc as (select d.i, d.doc_id, d.key, d.n + 1 as size, xor(xor(start.c, coalesce(sums.c, 0)), 4294967295)::bigint as text_crc32 from d join start on start.n = d.n left join sums using (i)),
+jumps as (select key, 0::bigint as b, floor(1 / {_DRAW.format("'0:' || key || ':0'")})::bigint as next from (select distinct key from d)
+  union all select key, next, floor((next + 1) / {_DRAW.format("'0:' || key || ':' || next")})::bigint from jumps where next < 17),
+place as (select key, max(b) filter (b < 16)::int as shard, max(b)::int as grown_shard from jumps group by key)
+select doc_id, size, text_crc32, 'key' as law, shard, row_number() over (partition by shard order by ('0x' || substr(md5(key || ':' || text_crc32), 1, 2))::int, doc_id nulls first, text_crc32) - 1 as slot, grown_shard
+from crc join place using (key)"""
