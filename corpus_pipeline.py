@@ -12,17 +12,20 @@ from stratavault.shipping import ship
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose words are many and varied enough and whose posterior quality is at least a half."""
     scored = quality_rules.score_quality(spark, docs, ws=Workspace(spark, "quality"))
-    return scored.where("__kept").select(*docs.columns)
+    return scored.where(F.col(f"{quality_rules.free_prefix(docs.columns)}kept")).select(*docs.columns)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; of rows that repeat an id, one; rows without an id stay."""
+    """One document of each group of near-duplicates; of rows that repeat an id, the one whose text, then whole row as JSON, is least; rows without an id stay."""
     ws = Workspace(spark, "dedup")
     found = near_dedup.near_duplicates(spark, docs, ws, width=5, percent=80)
-    kept = ws.put(found.where("kept and doc_id is not null").groupBy("doc_id").count(), "kept")
-    out = docs.join(kept.where("count = 1"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-    if not kept.where("count > 1").isEmpty():
-        out = out.unionByName(docs.join(kept.where("count > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    kept = ws.put(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    out = docs.join(kept.where("n = 1"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    if not kept.where("n > 1").isEmpty():
+        several = docs.join(kept.where("n > 1"), "doc_id", "left_semi")
+        row = F.struct(*docs.columns)
+        least = several.groupBy("doc_id").agg(F.min_by(row, F.struct(F.coalesce("text", F.lit("")).alias("text"), F.to_json(row).alias("row"))).alias("row"))
+        out = out.unionByName(least.select("row.*"))
     return out
 
 
@@ -33,14 +36,9 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    ws = Workspace(spark, "mix")
-    key = ["__id", "__digest", "__source"]
-    taken = mixing.mix(spark, docs, ws).groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("source").alias("__source")).agg(F.max("copies").alias("__copies"))
-    own = docs.withColumns({"__digest2": F.xxhash64("text")})
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest2") == F.col("__digest")) & F.col("source").eqNullSafe(F.col("__source"))
-    both = own.join(taken.where("__copies > 0"), on)
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    """Each row as often as the mix takes it."""
+    taken = mixing.mix(spark, docs, Workspace(spark, "mix"), carry=True).where("copies > 0")
+    return taken.select(F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), "payload").select("payload.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
