@@ -13,6 +13,7 @@ from .quality_rules import with_stats
 from .textstats import STATS
 from .workspace import Workspace
 
+FOLDS = 3  # of the labelled rows, for calibration
 FEATURES = ["log_words", "mean_word", "symbols", "symbol_words", "upper", "digits", "punct", "shout", "bars", "dup_lines", "repeats", "distinct", "line_words"]
 
 
@@ -64,26 +65,28 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _sums(fn, width: int):
-    """Partition sums of fn(X, y), one row per partition."""
+    """Partition sums of fn(X, y, fold), one row per partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width)
         for batch in batches:
             if batch.num_rows:
-                x = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns - 1)], 1)
-                total += fn(features_of(x), batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))
+                *x, y, fold = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns))
+                total += fn(features_of(np.stack(x, 1)), y, fold)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
     return run
 
 
 def fit(train: DataFrame, n_waves: int = 256, gamma: float = 0.15, ridge: float = 1e-3, seed: int = 4, bins: int = 2000) -> Model:
-    """Fits on (counts in the order of STATS..., target).
-
-    Three passes over the counts, each a sum per partition: means and spreads,
-    normal equations, calibration histogram.  ``train`` has a fixed number of
-    partitions (see ``classify``), which bounds what reaches the driver.  With no
-    labelled rows every score is 0.5.
+    """Fits on (counts in the order of STATS..., target, fold from 0 to FOLDS - 1).
+
+    Three passes over the counts, each a sum per partition: means and spreads, normal
+    equations of each fold, calibration histogram.  The score of a row in the
+    histogram is by weights from the other folds, so the calibration is of rows that
+    a score has not seen.  ``train`` has a fixed number of partitions (see
+    ``classify``), which bounds what reaches the driver.  With no labelled rows every
+    score is 0.5.
     """
     d = len(FEATURES)
 
@@ -91,7 +94,7 @@ def fit(train: DataFrame, n_waves: int = 256, gamma: float = 0.15, ridge: float
         rows = train.mapInArrow(_sums(fn, width), "sums binary").collect()
         return np.sum([np.frombuffer(r[0]) for r in rows], 0) if rows else np.zeros(width)
 
-    m = total(lambda x, y: np.concatenate([[len(y)], x.sum(0), (x**2).sum(0)]), 1 + 2 * d)
+    m = total(lambda x, y, fold: np.concatenate([[len(y)], x.sum(0), (x**2).sum(0)]), 1 + 2 * d)
     n = max(m[0], 1.0)
     mean = m[1 : d + 1] / n
     scale = np.sqrt(np.maximum(m[d + 1 :] / n - mean**2, 0)) + 0.02
@@ -99,18 +102,23 @@ def fit(train: DataFrame, n_waves: int = 256, gamma: float = 0.15, ridge: float
     waves, phase = rng.normal(0, np.sqrt(2 * gamma), (d, n_waves)), rng.uniform(0, 2 * np.pi, n_waves)
     p = n_waves + 1
 
-    def normal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def normal(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
         z = lift((x - mean) / scale, waves, phase)
-        return np.concatenate([(z.T @ z).ravel(), z.T @ y])
+        parts = [(z[fold == k], y[fold == k]) for k in range(FOLDS)]
+        return np.concatenate([np.concatenate([(a.T @ a).ravel(), a.T @ b, [len(b)]]) for a, b in parts])
+
+    s = total(normal, FOLDS * (p * p + p + 1)).reshape(FOLDS, -1)
+
+    def solved(sums: np.ndarray) -> np.ndarray:
+        return np.linalg.solve(sums[: p * p].reshape(p, p) + ridge * max(sums[-1], 1.0) * np.eye(p), sums[p * p : -1])
 
-    s = total(normal, p * p + p)
-    gram, moment = s[: p * p].reshape(p, p), s[p * p :]
-    weights = np.linalg.solve(gram + ridge * n * np.eye(p), moment)
-    model = Model(mean, scale, waves, phase, weights, np.array([0.0]), np.array([0.5]))
+    model = Model(mean, scale, waves, phase, solved(s.sum(0)), np.array([0.0]), np.array([0.5]))
+    others = np.stack([solved(s.sum(0) - s[k]) for k in range(FOLDS)], 1)
     edges = np.linspace(-0.5, 1.5, bins + 1)
 
-    def histogram(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        at = np.clip(np.searchsorted(edges, model.raw(x)) - 1, 0, bins - 1)
+    def histogram(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
+        raw = (lift((x - mean) / scale, waves, phase) @ others)[np.arange(len(y)), fold]
+        at = np.clip(np.searchsorted(edges, raw) - 1, 0, bins - 1)
         return np.concatenate([np.bincount(at, minlength=bins), np.bincount(at, y, minlength=bins)])
 
     h = total(histogram, 2 * bins)
@@ -150,7 +158,7 @@ def classify(
     if n > max_train_rows:
         marks = marks.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1e6 * max_train_rows / n))
     cols = [f"__{k}" for k in STATS]
-    train = stats.where(fold != 0).join(marks, F.col("doc_id") == F.col("id")).select(*cols, "mark")
+    train = stats.where(fold != 0).join(marks, F.col("doc_id") == F.col("id")).select(*cols, "mark", F.pmod(F.xxhash64("id"), F.lit(FOLDS)).cast("int").alias("part"))
     train = ws.put(train.repartition(train_partitions), "train")
     model = fit(train)
 
