@@ -9,15 +9,24 @@ from stratavault.llm.workspace import Workspace
 from stratavault.shipping import ship
 
 
+_OPEN: list[Workspace] = []
+
+
+def _workspace(spark: SparkSession, label: str) -> Workspace:
+    """A workspace that ``run`` clears once the stage's result is written."""
+    _OPEN.append(Workspace(spark, label))
+    return _OPEN[-1]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose words are many and varied enough and whose posterior quality is at least a half."""
-    scored = quality_rules.score_quality(spark, docs, ws=Workspace(spark, "quality"))
+    scored = quality_rules.score_quality(spark, docs, ws=_workspace(spark, "quality"))
     return scored.where(F.col(f"{quality_rules.free_prefix(docs.columns)}kept")).select(*docs.columns)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; of rows that repeat an id, the one whose text, then whole row as JSON, is least; rows without an id stay."""
-    ws = Workspace(spark, "dedup")
+    ws = _workspace(spark, "dedup")
     found = near_dedup.near_duplicates(spark, docs, ws, width=5, percent=80)
     kept = ws.put(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
     out = docs.join(kept.where("n = 1"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
@@ -37,7 +46,7 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it."""
-    taken = mixing.mix(spark, docs, Workspace(spark, "mix"), carry=True).where("copies > 0")
+    taken = mixing.mix(spark, docs, _workspace(spark, "mix"), carry=True).where("copies > 0")
     return taken.select(F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), "payload").select("payload.*")
 
 
@@ -56,6 +65,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    for (name, stage), (before, _) in zip(STAGES[:-1], [("", None), *STAGES], strict=False):
+        _OPEN.clear()
         docs = ws.put(stage(spark, docs, sf_dir), name)
+        for done in _OPEN:
+            done.clear()
+        if before:
+            ws.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
