@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .functions import binary as B, encodings as E, paths as P
 from .operators import caching, catalog, chunking, codec, dedup, keyvalue, shares as S
 from .params import Chunking, Coding
-from .plans.upload import share_rows
+from .plans.upload import share_rows, spread
 from .plans.vault import Vault
 from .scratch import folder
 from .sources.files import documents_as_files, read_files, write_files
@@ -93,7 +93,7 @@ c2 as (select f.doc_id, seq, user_id, secret_id, substr(h, (2 * before + 3)::int
 
 @query(f"with recursive {_VAR} select doc_id, secret_id, size as secret_size, sha256(unhex(ch)) as chunk_fp from c2")
 def var_chunks(spark, sf):
-    c = chunking.variable_chunks(_files(spark, sf).select("doc_id", "data"), SMALL)
+    c = chunking.variable_chunks(spread(_files(spark, sf).select("doc_id", "data"), "doc_id"), SMALL)
     return c.select("doc_id", "secret_id", "secret_size", B.fingerprint(F.col("chunk")).alias("chunk_fp"))
 
 
@@ -105,7 +105,7 @@ _SHARES_OF = f"""shares as (select doc_id, seq, user_id, secret_id, size as secr
 
 @query(f"with recursive {_VAR}, {_SHARES_OF}, m as ({_FIRST}) {_STATS}")
 def var_chunk_stats(spark, sf):
-    s = share_rows(_files(spark, sf).drop("path"), variable=SMALL)
+    s = share_rows(spread(_files(spark, sf).drop("path"), "doc_id"), variable=SMALL)
     return dedup.transfer_stats(s, HIGH.n)
 
 
@@ -235,7 +235,7 @@ def restore_roundtrip(spark, sf):
 
 def _roundtrip(coding: Coding, kept: list[int]) -> Query:
     def run(spark, sf):
-        chunks = chunking.fixed_chunks(_files(spark, sf).select("doc_id", "data"), 8192)
+        chunks = chunking.fixed_chunks(spread(_files(spark, sf).select("doc_id", "data"), "doc_id"), 8192)
         back = codec.decode(codec.keep_shares(codec.encode(chunks, coding), kept), coding).where("intact")
         ordered = back.select("doc_id", "secret_id", "secret").repartition("doc_id").sortWithinPartitions("doc_id", "secret_id")
         return catalog.digests(ordered, data="secret")

@@ -9,6 +9,12 @@ from ..operators import chunking
 from ..params import Chunking, Coding
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` over all cores, for work that costs far more than moving them, where the input has fewer splits than cores; else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def share_rows(files: DataFrame, size: int | None = 256, coding: Coding | None = None, variable: Chunking | None = None, with_data: bool = False) -> DataFrame:
     """Chunks with fp and share_size, from which the dedup stages go on.
 
