@@ -3,18 +3,24 @@
 Two most-significant-digit passes order suffixes through 50 bytes.  The first digit
 is 25 bytes: suffixes that start with a digit no other document has leave.  The
 second pass orders the rest by the other 25 bytes, to the left and right of the
-digit; equal groups are exactly the repeated windows.  Only anchors go through the
-passes: of the 26 digits inside a window the one with the least hash, which equal
-windows choose alike, so about 2 in 27 positions stand for all.
+digit; equal groups are exactly the repeated windows, as their bytes are compared.
+Only anchors go through the passes: of the 26 digits inside a window the one with the
+least hash, which equal windows choose alike, so about 2 in 27 positions stand for all.
+
+The unit of work is a part of the documents.  A part names each of its digits once,
+however many documents have it, and windows that start with a very common digit are
+dealt by all of their 50 bytes, once for each part: no group grows with the copies of
+a line.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .workspace import Workspace
@@ -23,9 +29,11 @@ WINDOW, DIGIT = 50, 25
 REACH = WINDOW - DIGIT  # an anchor's digit starts 0 to REACH bytes into its window
 GAP = 255  # stands between documents; no UTF-8 text has it
 CHUNK = 256 << 10
-FLUSH = 16 << 20
-#: Text bytes that a group of a pass stands for, about.
-GROUP_BYTES = 8 << 20
+#: Text bytes that a part of the documents and a group of digits stand for, about: at least this, and more for very large tables, where a part would name too few digits of each group.
+PART_BYTES, GROUP_BYTES = 2 << 20, 4 << 20
+#: Documents from which a digit is very common; what starts with it is then dealt by whole windows.
+COMMON = 5_000
+SALTS = 32
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MUL2 = np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTE = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -136,36 +144,56 @@ def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in column] or [np.empty(0, kind)])
 
 
+def _deflated(x: np.ndarray) -> bytes:
+    return pa.compress(x.tobytes(), "zstd", asbytes=True) if len(x) else b""
+
+
+def _inflated(column: pa.ChunkedArray, sizes: list[int], kind) -> np.ndarray:
+    return np.frombuffer(b"".join(pa.decompress(x.as_buffer(), n, "zstd", asbytes=True) for x, n in zip(column, sizes, strict=True) if n), kind)
+
+
+def _originals(texts: pa.Table, marks: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """(texts that are no copies of smaller documents, the marks that name no copies)."""
+    named = marks.column("copy").is_valid()
+    copies = set(zip(*(marks.filter(named).column(c).to_pylist() for c in ("copy", "h1")), strict=True))
+    if copies:
+        texts = texts.filter(pa.array([(i, h) not in copies for i, h in zip(texts.column("doc_id").to_pylist(), texts.column("h1").to_pylist(), strict=True)], pa.bool_()))
+    return texts, marks.filter(pc.invert(named))
+
+
+def _places(texts: pa.Table) -> list[tuple[int, int]]:
+    """(document, place of the text's first byte) of each row: the different texts of one id lie one behind another, by hash."""
+    rows = list(zip(texts.column("doc_id").to_pylist(), texts.column("h1").to_pylist(), pc.fill_null(pc.binary_length(texts.column("text")), 0).to_pylist(), strict=True))
+    at, place, last = 0, {}, None
+    for i, h, n in sorted(set(rows)):
+        at = at if i == last else 0
+        place[i, h] = at
+        at, last = at + n + WINDOW, i
+    return [(i, place[i, h]) for i, h, _ in rows]
+
+
 def _first_digits(groups: int):
-    """Per FLUSH bytes of text and group of digits, one row with its (document, digit) pairs."""
-
-    def emit(docs: list[np.ndarray], hs: list[np.ndarray]) -> pa.RecordBatch:
-        d, h = np.concatenate(docs), np.concatenate(hs)
-        rows = [(g, _packed(x), y.tobytes()) for g, (x, y) in _split((h >> np.uint64(33)) % np.uint64(groups), d, h)]
-        a, b, c = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.binary()), pa.array(c, pa.binary())], names=["g", "docs", "digits"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs: list[np.ndarray] = []
-        hs: list[np.ndarray] = []
-        held = 0
-        for batch in batches:
-            for ids, texts in _chunks(batch.column(0).to_pylist(), _as_bytes(batch.column(1))):
-                data, ends, first = lay_out(texts)
-                at, h = anchors(data, ends)
-                which = np.searchsorted(first, at, "right") - 1
-                order = np.lexsort((h, which))
-                which, h = which[order], h[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (which[1:] != which[:-1])
-                docs.append(np.array(ids, np.int64)[which[new]])
-                hs.append(h[new])
-                held += len(data)
-                if held >= FLUSH:
-                    yield emit(docs, hs)
-                    docs, hs, held = [], [], 0
-        if held and sum(map(len, hs)):
-            yield emit(docs, hs)
+    """Per part of the documents and group of digits: each digit of the part and how many of its documents have it."""
+
+    def run(texts: pa.Table, marks: pa.Table) -> pa.Table:
+        part = texts.column("part")[0].as_py() if len(texts) else 0
+        texts, _ = _originals(texts, marks)
+        found: list[np.ndarray] = []
+        for ids, raw in _chunks(texts.column("doc_id").to_pylist(), _as_bytes(texts.column("text"))):
+            data, ends, first = lay_out(raw)
+            at, h = anchors(data, ends)
+            doc = np.array(ids, np.int64)[np.searchsorted(first, at, "right") - 1]
+            order = np.lexsort((doc, h))
+            doc, h = doc[order], h[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            found.append(h[new])
+        rows: list[tuple] = []
+        if found:
+            digits, counts = np.unique(np.concatenate(found), return_counts=True)
+            rows = [(g, part, x.tobytes(), _deflated(n)) for g, (x, n) in _split((digits >> np.uint64(33)) % np.uint64(groups), digits, counts.astype(np.uint32))]
+        cols = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[2:]]], names=["g", "part", "digits", "counts"])
 
     return run
 
@@ -182,58 +210,127 @@ def _group_least(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.nda
     return low, high
 
 
-def _shared_digits(parts: int):
-    """Per group of digits: the (document, digit) pairs whose digit other documents have too, by part of the documents."""
+def _shared_digits(common: int):
+    """Per group of digits: for each part those of its digits that are in two documents or more, and which are common."""
 
     def run(table: pa.Table) -> pa.Table:
-        docs, digits = _unpacked(table.column("docs")), _joined(table.column("digits"), np.uint64)
+        sizes = [len(x.as_buffer()) // 8 for x in table.column("digits")]
+        digits, counts = _joined(table.column("digits"), np.uint64), _inflated(table.column("counts"), [4 * n for n in sizes], np.uint32)
         rows: list[tuple] = []
-        if len(docs):
-            low, high = _group_least(digits, docs)
-            some = low < high
-            rows = [(p, _packed(x), y.tobytes()) for p, (x, y) in _split(np.mod(docs[some], parts), docs[some], digits[some])]
-        a, b, c = zip(*rows, strict=True) if rows else ((), (), ())
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.binary()), pa.array(c, pa.binary())], names=["part", "docs", "digits"])
+        if len(digits):
+            order = np.argsort(digits, kind="stable")
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(digits[order])) + 1])
+            sums = np.add.reduceat(counts[order].astype(np.int64), starts)
+            total = np.empty(len(digits), np.int64)
+            total[order] = np.repeat(sums, np.diff(np.append(starts, len(digits))))
+            ends = np.cumsum(sizes)
+            for part, a, b in zip(table.column("part").to_pylist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
+                some = total[a:b] > 1
+                if some.any():
+                    rows.append((part, digits[a:b][some].tobytes(), _deflated((total[a:b][some] >= common).astype(np.uint8))))
+        cols = list(zip(*rows, strict=True)) or [()] * 3
+        return pa.table([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["part", "digits", "common"])
 
     return run
 
 
+PASSED = ["kind", "key", "docs", "at", "digits", "around"]
+
+
 def _second_digits(groups: int):
-    """Per part of the documents: around each anchor whose digit is shared, the bytes left and right of it."""
-    around = np.concatenate([np.arange(-REACH, 0), np.arange(DIGIT, DIGIT + REACH)])
-
-    def run(texts: pa.Table, shared: pa.Table) -> pa.Table:
-        copies = set(zip(*(shared.filter(shared.column("copy").is_valid()).column(c).to_pylist() for c in ("copy", "h1")), strict=True))
-        shared = shared.filter(shared.column("copy").is_null())
-        docs, digits = _unpacked(shared.column("docs")), _joined(shared.column("digits"), np.uint64)
-        order = np.lexsort((digits, docs))
-        docs, digits = docs[order], digits[order]
-        keep = pa.array([(i, h) not in copies for i, h in zip(texts.column("doc_id").to_pylist(), texts.column("h1").to_pylist(), strict=True)], pa.bool_())
-        texts = texts.filter(keep)
-        parts: list[list[np.ndarray]] = []
-        for ids, raw in _chunks(texts.column("doc_id").to_pylist(), _as_bytes(texts.column("text"))):
+    """Per part of the documents, by kind: 0, around each anchor whose digit is shared, the bytes left and right of it,
+    by group of digits; 1, windows that start with a common digit, by group of windows; 2, the part's own repeats among
+    the latter, which need no comparison with other parts."""
+    around = np.arange(-REACH, DIGIT + REACH)
+
+    def run(texts: pa.Table, marks: pa.Table) -> pa.Table:
+        part = texts.column("part")[0].as_py() if len(texts) else 0
+        texts, shared = _originals(texts, marks)
+        sizes = [len(x.as_buffer()) // 8 for x in shared.column("digits")]
+        digits, common = _joined(shared.column("digits"), np.uint64), _inflated(shared.column("common"), sizes, np.uint8)
+        order = np.argsort(digits)
+        digits, common = digits[order], common[order]
+        found: list[list[np.ndarray]] = []
+        for ids, raw in _chunks(_places(texts), _as_bytes(texts.column("text"))) if len(digits) else ():
             data, ends, first = lay_out(raw)
             at, h = anchors(data, ends)
+            place = np.minimum(np.searchsorted(digits, h), len(digits) - 1)
+            hit = digits[place] == h
+            at, h, place = at[hit], h[hit], place[hit]
             which = np.searchsorted(first, at, "right") - 1
-            hit = np.zeros(len(at), bool)
-            cuts = np.searchsorted(which, np.arange(len(ids) + 1))
-            lo, hi = np.searchsorted(docs, ids), np.searchsorted(docs, ids, "right")
-            for k in range(len(ids)):
-                if hi[k] > lo[k]:
-                    own, mine = digits[lo[k] : hi[k]], h[cuts[k] : cuts[k + 1]]
-                    hit[cuts[k] : cuts[k + 1]] = own[np.minimum(np.searchsorted(own, mine), len(own) - 1)] == mine
-            at, h, which = at[hit], h[hit], which[hit]
-            parts.append([np.array(ids, np.int64)[which], (at - first[which]).astype(np.uint32), h, data[at[:, None] + around]])
-        rows = []
-        if parts:
-            d, p, h, ctx = (np.concatenate(x) for x in zip(*parts, strict=True))
-            rows = [(g, _packed(a), b.tobytes(), c.tobytes(), pa.compress(e.tobytes(), "zstd", asbytes=True)) for g, (a, b, c, e) in _split((h >> np.uint64(33)) % np.uint64(groups), d, p, h, ctx)]
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        return pa.table([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["g", "docs", "at", "digits", "around"])
+            doc, base = np.array(ids, np.int64).T
+            found.append([doc[which], at - first[which] + base[which], h, common[place], data[at[:, None] + around]])
+        rows: list[tuple] = []
+        if found:
+            d, p, h, often, ctx = (np.concatenate(x) for x in zip(*found, strict=True))
+            seldom = often == 0
+            rows += [(0, g, _packed(a), b.astype(np.uint32).tobytes(), c.tobytes(), _deflated(e)) for g, (a, b, c, e) in _split((h[seldom] >> np.uint64(33)) % np.uint64(groups), d[seldom], p[seldom], h[seldom], ctx[seldom])]
+            rows += _common_windows(part, groups, *(x[~seldom] for x in (d, p, h, ctx)))
+        cols = list(zip(*rows, strict=True)) or [()] * 6
+        return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[2:]]], names=PASSED)
 
     return run
 
 
+def _windows(digits: np.ndarray, ctx: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each o the windows that start o bytes before the digit: (o, rows that have one, hashes of all their bytes)."""
+    left, right = _prefix_hashes(ctx[:, :REACH][:, ::-1]), _prefix_hashes(ctx[:, REACH + DIGIT :])
+    for o in range(REACH + 1):
+        a, b = left[o], right[REACH - o]
+        ok = np.flatnonzero((a != 0) & (b != 0))
+        if len(ok):
+            with np.errstate(over="ignore"):
+                yield o, ok, _mix(_mix(digits[ok] + a[ok] * _MUL) + b[ok] * _MUL2)
+
+
+def _cut(ctx: np.ndarray, ok: np.ndarray, o: int) -> Callable[[np.ndarray], np.ndarray]:
+    """The bytes of the windows that start o bytes before the digits of the rows ``ok``."""
+    return lambda rows: ctx[ok[rows], REACH - o : REACH - o + WINDOW]
+
+
+def _in_smaller(keys: np.ndarray, docs: np.ndarray, windows: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Whether a row's window is in a smaller document too; ``windows`` gives the bytes of rows.
+
+    Equal keys are taken for equal windows where the bytes agree with those of the
+    least document; should two windows ever have one key, all are sorted by their bytes.
+    """
+    order = np.argsort(keys)
+    k, d = keys[order], docs[order]
+    starts = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1])
+    runs = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(k))))
+    low = np.minimum.reduceat(d, starts)
+    later = low[runs] < d
+    gone = np.zeros(len(keys), bool)
+    if later.any():
+        holder = np.empty(len(starts), np.int64)
+        holder[runs[~later]] = order[~later]  # of each run a row of its least document
+        rows, least = order[later], holder[runs[later]]
+        if not (windows(rows) == windows(least)).all():
+            exact = np.unique(np.ascontiguousarray(windows(np.arange(len(keys)))).view(f"V{WINDOW}").ravel(), return_inverse=True)[1]
+            return _group_least(exact, docs)[0] < docs
+        gone[rows] = True
+    return gone
+
+
+def _common_windows(part: int, groups: int, docs: np.ndarray, at: np.ndarray, digits: np.ndarray, ctx: np.ndarray) -> list[tuple]:
+    """Rows of kinds 1 and 2: of equal windows only those in the part's least document need others."""
+    rows: list[tuple] = []
+    gone: list[list[np.ndarray]] = []
+    asked: list[list[np.ndarray]] = []
+    for o, ok, keys in _windows(digits, ctx) if len(docs) else ():
+        window = _cut(ctx, ok, o)
+        again = _in_smaller(keys, docs[ok], window)
+        gone.append([docs[ok][again], at[ok][again] - o])
+        asked.append([docs[ok][~again], at[ok][~again] - o, keys[~again], window(np.flatnonzero(~again))])
+    if gone:
+        d, a = (np.concatenate(x) for x in zip(*gone, strict=True))
+        if len(d):
+            rows.append((2, part, _packed(d), a.astype(np.uint32).tobytes(), (a + WINDOW).astype(np.uint32).tobytes(), b""))
+        d, a, k, w = (np.concatenate(x) for x in zip(*asked, strict=True))
+        rows += [(1, g, _packed(x), y.astype(np.uint32).tobytes(), z.tobytes(), _deflated(e)) for g, (x, y, z, e) in _split((k >> np.uint64(33)) % np.uint64(groups), d, a, k, w)]
+    return rows
+
+
 def _prefix_hashes(bytes_: np.ndarray) -> list[np.ndarray]:
     """Hashes of the first 0, 1, ... bytes of each row; 0 once a GAP is among them."""
     h = np.ones(len(bytes_), np.uint64)
@@ -248,32 +345,30 @@ def _prefix_hashes(bytes_: np.ndarray) -> list[np.ndarray]:
 
 
 def _repeated(parts: int):
-    """Per group of digits: byte ranges whose every 50-byte window starts in a smaller document too, by part of the documents."""
+    """Per group of digits or windows: byte ranges whose every 50-byte window starts in a smaller document too, by part of the documents."""
+    names, types = ["part", "docs", "starts", "ends"], [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
     def run(table: pa.Table) -> pa.Table:
+        kind = table.column("kind")[0].as_py()
+        if kind == 2:
+            return table.select(["key", "docs", "at", "digits"]).rename_columns(names)
         docs, at, digits = _unpacked(table.column("docs")), _joined(table.column("at"), np.uint32).astype(np.int64), _joined(table.column("digits"), np.uint64)
-        sizes = [len(x.as_buffer()) // 4 * 2 * REACH for x in table.column("at")]
-        ctx = np.frombuffer(b"".join(pa.decompress(x.as_buffer(), n, "zstd", asbytes=True) for x, n in zip(table.column("around"), sizes, strict=True)), np.uint8).reshape(-1, 2 * REACH)
-        rows: list[tuple] = []
-        if len(docs):
-            left, right = _prefix_hashes(ctx[:, :REACH][:, ::-1]), _prefix_hashes(ctx[:, REACH:])
+        width = WINDOW if kind else DIGIT + 2 * REACH
+        ctx = _inflated(table.column("around"), [len(x.as_buffer()) // 4 * width for x in table.column("at")], np.uint8).reshape(-1, width)
+        if kind:
+            some = np.flatnonzero(_in_smaller(digits, docs, lambda rows: ctx[rows])) if len(docs) else np.empty(0, np.int64)
+            start, end = at[some], at[some] + WINDOW
+        else:
             first, last = np.full(len(docs), -1), np.full(len(docs), -1)
-            for o in range(REACH + 1):  # windows that start o bytes before the digit
-                a, b = left[o], right[REACH - o]
-                ok = np.flatnonzero((a != 0) & (b != 0))
-                if not len(ok):
-                    continue
-                with np.errstate(over="ignore"):
-                    key = _mix(_mix(digits[ok] + a[ok] * _MUL) + b[ok] * _MUL2)
-                low, _ = _group_least(key, docs[ok])
-                gone = ok[low < docs[ok]]
+            for o, ok, keys in _windows(digits, ctx) if len(docs) else ():
+                gone = ok[_in_smaller(keys, docs[ok], _cut(ctx, ok, o))]
                 last[gone] = o
                 first[gone] = np.where(first[gone] < 0, o, first[gone])
             some = np.flatnonzero(first >= 0)
             start, end = at[some] - last[some], at[some] - first[some] + WINDOW
-            rows = [(p, _packed(d), s.astype(np.uint32).tobytes(), e.astype(np.uint32).tobytes()) for p, (d, s, e) in _split(np.mod(docs[some], parts), docs[some], start, end)]
+        rows = [(p, _packed(d), s.astype(np.uint32).tobytes(), e.astype(np.uint32).tobytes()) for p, (d, s, e) in _split(np.mod(docs[some], parts), docs[some], start, end)]
         cols = list(zip(*rows, strict=True)) or [()] * 4
-        return pa.table([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["part", "docs", "starts", "ends"])
+        return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
     return run
 
@@ -294,15 +389,20 @@ def _outcome(cut: bool):
         order = np.argsort(docs, kind="stable")
         docs, starts, ends = docs[order], starts[order], ends[order]
         rows = []
-        for i, h, raw in zip(texts.column("doc_id").to_pylist(), texts.column("h1").to_pylist(), _as_bytes(texts.column("text")), strict=True):
+        whole = [(i, h) in copies for i, h in zip(texts.column("doc_id").to_pylist(), texts.column("h1").to_pylist(), strict=True)]
+        places = iter(_places(texts.filter(pa.array([not w for w in whole], pa.bool_()))))
+        for i, copy, raw in zip(texts.column("doc_id").to_pylist(), whole, _as_bytes(texts.column("text")), strict=True):
+            base = 0 if copy else next(places)[1]
             raw = raw or b""
             spans: list[tuple[int, int]] = []
-            if i is not None and len(raw) >= WINDOW:
-                if (i, h) in copies:
-                    spans = [(0, len(raw))]
-                else:
-                    lo, hi = np.searchsorted(docs, i), np.searchsorted(docs, i, "right")
-                    spans = merge_ranges(starts[lo:hi], ends[lo:hi]) if hi > lo else []
+            if copy:
+                spans = [(0, len(raw))]
+            elif len(raw) >= WINDOW:
+                lo, hi = np.searchsorted(docs, i), np.searchsorted(docs, i, "right")
+                own = slice(lo, hi)
+                here = (starts[own] >= base) & (ends[own] <= base + len(raw))
+                if here.any():
+                    spans = merge_ranges(starts[own][here] - base, ends[own][here] - base)
             kept, upto = [], 0
             for a, b in spans:
                 kept.append(raw[upto:a])
@@ -324,7 +424,7 @@ def _prime(n: int) -> int:
     return n
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, ws: Workspace, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, ws: Workspace, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, common: int = COMMON) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) per row of ``docs``.
 
     Removes each byte covered by a 50-byte string that also starts in a document
@@ -332,31 +432,40 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, ws: Workspace, doc_id:
 
     A null text is empty; a null id neither removes nor loses anything; equal ids
     don't remove from each other; texts under 50 bytes stay whole; an empty table
-    gives an empty result.  Exact copies of a smaller document go as a whole and
-    don't enter the second pass.
+    gives an empty result.  Exact copies of a smaller document (by 128-bit hash) go as
+    a whole and enter neither pass.  ``common`` is the number of documents from which
+    a digit's windows are dealt one by one; it changes the plan, never the result.
     """
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h1"))
     slim = ws.put(d.select("doc_id", "h1", F.xxhash64(F.lit(1), "text").alias("h2"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")), "slim")
     total = slim.agg(F.sum("n")).first()[0] or 0
-    groups = max(32, -(-total // GROUP_BYTES))
-    parts = _prime(max(31, -(-total // GROUP_BYTES)))
+    share = max(GROUP_BYTES, int((2600 * total) ** 0.5))  # 512 MB at 100 TB
+    groups, parts = max(32, -(-total // share)), _prime(max(31, -(-total // max(PART_BYTES, share // 8))))
     real = slim.where(f"doc_id is not null and n >= {WINDOW}")
+    # a class of copies may be very large: it meets its least document in as many places as there are salts
     least = real.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    copies = ws.put(real.join(least, ["h1", "h2"]).where("doc_id > least").select(F.pmod("doc_id", F.lit(parts)).alias("part"), F.col("doc_id").alias("copy"), "h1"), "copies")
+    least = least.select("h1", "h2", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = real.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    part = F.pmod("doc_id", F.lit(parts))
+    copies = ws.put(salted.join(least, ["h1", "h2", "salt"]).where("doc_id > least").select(part.alias("part"), F.col("doc_id").alias("copy"), "h1"), "copies")
 
-    digits = d.where("doc_id is not null").select("doc_id", "text").mapInArrow(_first_digits(groups), "g long, docs binary, digits binary")
-    shared = ws.put(digits.groupBy("g").applyInArrow(_shared_digits(parts), "part long, docs binary, digits binary"), "shared")
-    del digits
-    ws.settle()
     blank = F.lit(None).cast("binary")
     none = F.lit(None).cast("long")
-    by_part = d.withColumn("part", F.coalesce(F.pmod("doc_id", F.lit(parts)), F.lit(0)))
-    marks = copies.withColumns({"docs": blank, "digits": blank}).unionByName(shared.withColumns({"copy": none, "h1": none}))
-    second = by_part.where("doc_id is not null").groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(_second_digits(groups), "g long, docs binary, at binary, digits binary, around binary")
-    gone = ws.put(second.groupBy("g").applyInArrow(_repeated(parts), "part long, docs binary, starts binary, ends binary"), "gone")
+    by_part = d.where("doc_id is not null").withColumn("part", part)
+    digits = by_part.groupBy("part").cogroup(copies.groupBy("part")).applyInArrow(_first_digits(groups), "g long, part long, digits binary, counts binary")
+    shared = ws.put(digits.groupBy("g").applyInArrow(_shared_digits(common), "part long, digits binary, common binary"), "shared")
+    del digits
+    ws.settle()
+    marks = copies.withColumns({"digits": blank, "common": blank}).unionByName(shared.withColumns({"copy": none, "h1": none}))
+    second = by_part.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(_second_digits(groups), "kind int, key long, docs binary, at binary, digits binary, around binary")
+    gone = ws.put(second.groupBy("kind", "key").applyInArrow(_repeated(parts), "part long, docs binary, starts binary, ends binary"), "gone")
     del second, marks
-    ws.drop("shared")
+    ws.drop("shared", "slim")
     ws.settle()
     cuts = copies.withColumns({"docs": blank, "starts": blank, "ends": blank}).unionByName(gone.withColumns({"copy": none, "h1": none}))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return by_part.groupBy("part").cogroup(cuts.groupBy("part")).applyInArrow(_outcome(with_text), schema)
+    done = by_part.groupBy("part").cogroup(cuts.groupBy("part")).applyInArrow(_outcome(with_text), schema)
+    # rows without an id lose nothing and need no others
+    whole = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    alone = d.where("doc_id is null").select("doc_id", F.octet_length(whole).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(whole, 256).alias("kept_sha256"), *[whole.alias("kept")] * with_text)
+    return done.unionByName(alone)
