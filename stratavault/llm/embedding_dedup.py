@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .components import connected_components
-from .runs import each_run, in_block_pairs
+from .runs import each_run, in_block_pairs, spread_join
 from .workspace import Workspace
 
 MISS = 1e-4  # chance that a pair just at the threshold meets in no table
@@ -70,7 +70,9 @@ def near_vectors(spark: SparkSession, table: DataFrame, ws: Workspace, vec_id: s
     vectors like others and share the id's component; an empty table gives an empty
     result.
     """
-    t = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("x"))
+    kind = table.schema[embedding].dataType.elementType.typeName()
+    # single-precision components travel as they are, at half the bytes, and are made double where they are compared
+    t = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>" if kind == "float" else "array<double>").alias("x"))
     fine = F.col("x").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("x", lambda v: v != 0), F.lit(False))
     t = ws.put(t.withColumn("fine", F.coalesce(fine, F.lit(False))), "vectors")
     good = t.where("fine").withColumns({"h1": F.xxhash64("x"), "h2": F.xxhash64(F.lit(1), "x"), "dim": F.size("x")})
@@ -123,9 +125,8 @@ def near_vectors(spark: SparkSession, table: DataFrame, ws: Workspace, vec_id: s
 
         own = classes.where(F.col("dim") == dim).select("cid", "x", "w")
         keyed = ws.put(own.select("cid", "x").mapInArrow(hashed, "cid long, t int, key long"), f"keys-{dim}")
-        shared = keyed.groupBy("key").agg(F.count("*").alias("g")).where("g > 1").select("key")
-        meeting = ws.put(keyed.join(shared, "key"), f"meeting-{dim}")
-        dealt = in_block_pairs(meeting, "key", "cid").select("run", "side", "t", "cid").join(own, "cid")
+        shared = ws.put(keyed.groupBy("key").agg(F.count("*").alias("g")).where("g > 1"), f"shared-{dim}")
+        dealt = in_block_pairs(keyed, shared, "key", "cid").select("run", "side", "t", "cid").join(own, "cid")
         runs = dealt.select("run", "side", "t", "cid", "w", "x").repartition("run").sortWithinPartitions("run")
         out = ws.put(runs.mapInArrow(compared, "cid long, links long, label long"), f"links-{dim}")
         sums.append(out.groupBy("cid").agg(F.sum("links").alias("links")))
@@ -137,9 +138,11 @@ def near_vectors(spark: SparkSession, table: DataFrame, ws: Workspace, vec_id: s
         links = links.unionByName(more)
     for more in edges[1:]:
         pairs = pairs.unionByName(more)
-    labels = ws.put(connected_components(pairs, ws, "cc"), "labels")
+    labels = connected_components(pairs, ws, "cc")
     per = classes.select("h1", "h2", "cid", "w").join(links, "cid", "left").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
-    per = per.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
-    done = good.select("vec_id", "h1", "h2").join(per, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
+    per = per.select("h1", "h2", "w", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
+    per = ws.put(per, "of-class")
+    ws.keep_only("vectors", "of-class")
+    done = spread_join(good.select("vec_id", "h1", "h2"), per, ["h1", "h2"], "w", "vec_id").select("vec_id", "n_links", "component_id")
     alone = t.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return done.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from .components import connected_components
-from .runs import each_run, in_block_pairs
+from .runs import each_run, in_block_pairs, spread_join
 from .workspace import Workspace
 
 BANDS, ROWS = 42, 6
@@ -176,7 +176,7 @@ def _keyed(width: int):
 
 
 def _own_ids(classes: DataFrame, ws: Workspace) -> DataFrame:
-    """(k1, k2, first, cid): cid is the least id ``first``, but of classes with the same one all but one get ids above all others."""
+    """(k1, k2, first, n, cid): cid is the least id ``first``, but of classes with the same one all but one get ids above all others."""
     order = Window.partitionBy("first").orderBy("k1", "k2")
     ranked = ws.put(classes.withColumn("rank", F.row_number().over(order)), "classes-ranked")
     top = ranked.agg(F.max("first")).first()[0]
@@ -188,10 +188,10 @@ def _own_ids(classes: DataFrame, ws: Workspace) -> DataFrame:
     for k in sorted(sizes):
         before[k], held = held, held + sizes[k]
     if not held:
-        return ranked.select("k1", "k2", "first", F.col("first").alias("cid"))
+        return ranked.select("k1", "k2", "first", "n", F.col("first").alias("cid"))
     offset = F.create_map(*[F.lit(x) for k, v in before.items() for x in (k, v)])[F.col("part")]
-    numbered = more.select("k1", "k2", "first", (F.lit(top) + offset + F.col("i")).cast("long").alias("cid"))
-    return ranked.where("rank = 1").select("k1", "k2", "first", F.col("first").alias("cid")).unionByName(numbered)
+    numbered = more.select("k1", "k2", "first", "n", (F.lit(top) + offset + F.col("i")).cast("long").alias("cid"))
+    return ranked.where("rank = 1").select("k1", "k2", "first", "n", F.col("first").alias("cid")).unionByName(numbered)
 
 
 def _promising(floor: float):
@@ -318,16 +318,19 @@ def near_duplicates(
     key = F.struct("k1", "k2")
     twice = ws.put(sk.where("doc_id is not null").groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi").select("doc_id"), "twice")
     repeats = not twice.isEmpty()
-    classes = real.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"))
+    classes = real.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     classes = ws.put(_own_ids(ws.put(classes, "classes-least"), ws) if repeats else classes.withColumn("cid", F.col("first")), "classes")
-    reps = real.join(classes, ["k1", "k2"]).where("doc_id = first").select("cid", "n_shingles", "regs").dropDuplicates(["cid"])
+    # by the least document's id, so that the copies of a class never meet
+    least = classes.select(F.col("first").alias("doc_id"), "k1", "k2", "cid")
+    reps = real.join(least, ["doc_id", "k1", "k2"]).select("cid", "n_shingles", "regs").dropDuplicates(["cid"])
     reps = ws.put(reps, "reps")
     ws.settle()
 
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), (i * (2 * ROWS) + 1).cast("int"), F.lit(2 * ROWS))))
     banded = reps.select("cid", F.posexplode(band).alias("t", "key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("g")).where("g > 1").select("key")
-    members = ws.put(banded.join(shared, "key"), "members")
+    shared = ws.put(banded.groupBy("key").agg(F.count("*").alias("g")).where("g > 1"), "shared")
+    members = ws.put(spread_join(banded, shared, "key", "g", "cid").drop("g"), "members")
+    ws.drop("shared")
 
     texts = d.where("doc_id is not null").join(reps.select(F.col("cid").alias("doc_id")), "doc_id", "left_semi")
 
@@ -338,7 +341,7 @@ def near_duplicates(
         texts = texts.join(twice, "doc_id", "left_anti").unionByName(exact)
         owners = real.join(twice, "doc_id", "left_semi").join(classes, ["k1", "k2"]).select("doc_id", "cid").distinct()
         same_id = owners.join(owners.groupBy("doc_id").agg(F.min("cid").alias("a")), "doc_id").select("a", F.col("cid").alias("b"))
-        labels = ws.put(connected_components(same_id, ws, "cc-ids"), "labels-ids")
+        labels = connected_components(same_id, ws, "cc-ids")
 
     def promising(pairs: DataFrame) -> DataFrame:
         left = reps.select(F.col("cid").alias("a"), F.col("regs").alias("ra"), F.col("n_shingles").alias("na"))
@@ -362,19 +365,22 @@ def near_duplicates(
     turn = 0
     while True:
         per_bucket = at.groupBy("key", "component").count().groupBy("key").agg(F.sum("count").alias("rows"), ((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))) / 2).alias("pairs"))
-        cross, rows = per_bucket.agg(F.sum("pairs"), F.sum("rows")).first()
+        cross, rows = per_bucket.where("pairs > 0").agg(F.sum("pairs"), F.sum("rows")).first()
         if not cross:
             break
         last = cross <= PAIRS_A_ROW * rows or turn >= MOST_STARS
+        # of each bucket whose members are in several components: its rows, and as pivot the one of least hash
+        order = F.struct(F.xxhash64("cid", F.lit(turn)), F.col("cid"), F.col("component"))
+        buckets = at.groupBy("key").agg(F.min(order).alias("p"), F.count("*").alias("g"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+        buckets = ws.put(buckets.select("key", "g", F.col("p.cid").alias("p"), F.col("p.component").alias("pc")), f"buckets-{turn}")
         if not last or not turn:
-            order = F.struct(F.xxhash64("cid", F.lit(turn)), F.col("cid"), F.col("component"))
-            pivot = at.groupBy("key").agg(F.min(order).alias("p")).select("key", F.col("p.cid").alias("p"), F.col("p.component").alias("pc"))
-            pairs = at.join(pivot, "key").where("component <> pc").select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b")).distinct()
+            pairs = spread_join(at, buckets, "key", "g", "cid").where("component <> pc").select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b")).distinct()
             last = False
         else:
-            own = texts.join(at.select(F.col("cid").alias("doc_id")).distinct(), "doc_id").groupBy("doc_id").agg(F.first("text").alias("text"))
+            ends = at.join(buckets.select("key"), "key", "left_semi").select(F.col("cid").alias("doc_id")).distinct()
+            own = texts.join(ends, "doc_id").groupBy("doc_id").agg(F.first("text").alias("text"))
             short = ws.put(own.mapInArrow(_short_sets(width), "cid long, short binary"), "short")
-            dealt = in_block_pairs(at, "key", "cid").join(reps, "cid").join(short, "cid").select("run", "side", "t", "cid", "component", "n_shingles", "regs", "short")
+            dealt = in_block_pairs(at, buckets.select("key", "g"), "key", "cid").join(reps, "cid").join(short, "cid").select("run", "side", "t", "cid", "component", "n_shingles", "regs", "short")
             runs = dealt.repartition("run").sortWithinPartitions("run")
             pairs = runs.mapInArrow(_across(floor, percent), "a long, b long").distinct()
         fresh = ws.put(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), f"pairs-{turn}")
@@ -382,18 +388,20 @@ def near_duplicates(
         links = verified(promising(fresh), f"turn-{turn}")
         if labels is not None:
             links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        labels = ws.put(connected_components(links, ws, f"cc-{turn}"), f"labels-{turn}")
+        labels = connected_components(links, ws, f"cc-{turn}")
         if last:
             break
         at = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "t", "key", F.coalesce("component", "cid").alias("component"))
-        split = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        at = ws.put(at.join(split, "key"), f"apart-{turn}")
+        at = ws.put(at, f"labelled-{turn}")
+        ws.drop(f"buckets-{turn}", f"labelled-{turn - 1}")
         turn += 1
 
     if labels is None:
         labels = spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("component"))
-    of_class = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("k1", "k2", F.coalesce("component", "cid").alias("component_id"))
-    done = real.select("doc_id", "n_shingles", "k1", "k2").join(of_class, ["k1", "k2"]).select("doc_id", "n_shingles", "component_id")
+    of_class = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("k1", "k2", "n", F.coalesce("component", "cid").alias("component_id"))
+    of_class = ws.put(of_class, "of-class")
+    ws.keep_only("sketches", "twice", "of-class")
+    done = spread_join(real.select("doc_id", "n_shingles", "k1", "k2"), of_class, ["k1", "k2"], "n", "doc_id").select("doc_id", "n_shingles", "component_id")
     alone = sk.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     if repeats:
         shared = done.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("component_id").alias("c"))
