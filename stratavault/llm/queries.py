@@ -69,4 +69,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express; the others are held against brute force in tests/llm."""
-    return {"op1_minhash_dedup": sql.OP1, "op3_mixing": sql.OP3, "op6_sharding": sql.OP6, "op5_suffix_dedup": sql.OP5, "op10_embedding_dedup": sql.OP10}
+    return {"op1_minhash_dedup": sql.OP1, "op3_mixing": sql.OP3, "op6_sharding": sql.OP6, "op7_pii": sql.OP7, "op5_suffix_dedup": sql.OP5, "op10_embedding_dedup": sql.OP10}

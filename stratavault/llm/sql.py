@@ -79,3 +79,18 @@ jumps as (select key, 0::bigint as b, floor(1 / {_DRAW.format("'0:' || key || ':
 place as (select key, max(b) filter (b < 16)::int as shard, max(b)::int as grown_shard from jumps group by key)
 select doc_id, size, text_crc32, 'key' as law, shard, row_number() over (partition by shard order by ('0x' || substr(md5(key || ':' || text_crc32), 1, 2))::int, doc_id nulls first, text_crc32) - 1 as slot, grown_shard
 from crc join place using (key)"""
+
+#: Each pattern's matches are marked, and their places are the lengths of what stands before the marks.  The tables hold no disguised data, so the plain spans are all.
+OP7 = r"""with
+p as (select * from (values (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), (1, 'ip', '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'),
+  (2, 'card', '[0-9]([\x20-]?[0-9])+'), (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')) as p(k, kind, pattern)),
+d as materialized (select row_number() over () as i, doc_id, coalesce(text, '') as t from documents),
+m as (select i, k, kind, string_split(regexp_replace(t, pattern, chr(1) || '\0' || chr(2), 'g'), chr(1)) as parts from d, p),
+u as (select i, k, kind, unnest(list_transform(range(2, len(parts) + 1), lambda j: {'found': string_split(parts[j], chr(2))[1], 'a': list_sum(list_transform(parts[1:j - 1], lambda x: length(x))) - (j - 2)})) as x from m where len(parts) > 1),
+f as (select i, k, kind, x.found as found, x.a::bigint as a, (x.a + length(x.found))::bigint as b, regexp_replace(x.found, '[^0-9]', '', 'g') as digits from u),
+s as (select * from f where case k when 0 then true
+  when 1 then list_bool_and(list_transform(string_split(found, '.'), lambda x: length(ltrim(x, '0')) <= 3 and coalesce(try_cast(ltrim(x, '0') as int), 0) <= 255))
+  when 2 then length(digits) between 12 and 19 and list_sum(list_transform(range(0, length(digits)), lambda j: digits[length(digits) - j]::int * (1 + j % 2) - case when digits[length(digits) - j]::int * (1 + j % 2) > 9 then 9 else 0 end)) % 10 = 0
+  else length(digits) between 9 and 15 end),
+g as (select i, count(*) filter (k = 0) as n_email, count(*) filter (k = 1) as n_ip, count(*) filter (k = 2) as n_card, count(*) filter (k = 3) as n_phone, string_agg(kind || ':' || a || ':' || b, ',' order by a, k) as spans from s group by i)
+select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone, sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans from d left join g using (i)"""

@@ -308,7 +308,7 @@ def test_pipeline_stages(spark):
     assert last.where("start = 0").count() == docs.count() > 0
 
 
-@pytest.mark.parametrize("name", ["op1_minhash_dedup", "op3_mixing", "op5_suffix_dedup", "op6_sharding", "op10_embedding_dedup"])
+@pytest.mark.parametrize("name", ["op1_minhash_dedup", "op3_mixing", "op5_suffix_dedup", "op6_sharding", "op7_pii", "op10_embedding_dedup"])
 def test_queries_as_their_sql(spark, name):
     import duckdb
 
