@@ -14,7 +14,7 @@ from .plans.vault import Vault
 from .scratch import folder
 from .sources.files import documents_as_files, read_files, write_files
 from .sources.tables import SortedTable
-from .streaming.incremental import idle_sessions
+from .streaming.incremental import idle_sessions, start_dedup
 
 HIGH, LOW, CRSSS = Coding(), Coding(pair="low"), Coding(codec="crsss")
 SIZE = 256
@@ -552,15 +552,15 @@ def idle_flush_sessions(spark, sf):
 
 @query(f"with {_CHUNKS}, m as ({_FIRST}) select fp, seq, secret_id, user_id, share_size from m where rn = 1")
 def incremental_dedup(spark, sf):
-    """Four uploads after another, each against the index so far; equal to one upload of all."""
-    shares = _shares(spark, sf)
+    """A stream of uploads in four files, a micro-batch each, against the index so far; equal to one upload of all."""
+    at, shares = folder(spark, "stream"), _shares(spark, sf)
     top = shares.agg(F.max("seq")).first()[0] or 0
-    index = None
     for k in range(4):
-        part = shares.where((F.col("seq") > top * k // 4) & (F.col("seq") <= top * (k + 1) // 4)) if k else shares.where(F.col("seq") <= top // 4)
-        new = dedup.inter_user(part)
-        index = new if index is None else index.unionByName(new.join(index.select("fp"), "fp", "left_anti"))
-    return index
+        part = shares.where(F.col("seq").between(top * k // 4 + 1, top * (k + 1) // 4)) if k else shares.where(F.col("seq") <= top // 4)
+        part.coalesce(1).write.mode("append").parquet(f"{at}/in")
+    stream = spark.readStream.schema(shares.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{at}/in")
+    start_dedup(stream, f"{at}/index", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/index").drop("batch")
 
 
 def queries() -> dict[str, Query]:

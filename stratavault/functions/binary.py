@@ -39,11 +39,6 @@ def pad_zero(data: Column, to: Column) -> Column:
     return F.concat(data, F.unhex(F.repeat(F.lit("00"), (to - F.octet_length(data)).cast("int"))))
 
 
-def strip_zero(data: Column) -> Column:
-    """Without trailing zero bytes: secrets that differ only in these, within the alignment, have equal shares."""
-    return F.unhex(F.regexp_replace(F.hex(data), "(00)+$", ""))
-
-
 def counter_pattern(size: Column) -> Column:
     """Bytes 0, 1, ... 255, 0, ..."""
     every = "".join(f"{i:02x}" for i in range(256))

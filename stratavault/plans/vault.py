@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import binary as B
 from ..operators import catalog, chunking, shares as S
 from ..params import BUFFER_BYTES, Chunking, Coding
-from ..sources.tables import exists
+from ..sources.tables import delete, exists, finished
 
 
 class Vault:
@@ -30,12 +30,15 @@ class Vault:
         path = f"{self.root}/{name}"
         return self.spark.read.parquet(path) if exists(self.spark, path) else None
 
+    def batches(self) -> list[int]:
+        """The finished batches."""
+        return [int(n.removeprefix("batch=")) for n in finished(self.spark, f"{self.root}/files")]
+
     def committed(self, name: str) -> DataFrame | None:
-        """The table's rows of finished batches."""
-        rows, files = self.table(name), self.table("files")
-        if rows is None or files is None:
-            return None
-        return rows if name == "files" else rows.join(F.broadcast(files.select("batch").distinct()), "batch", "left_semi")
+        """The table's rows of finished batches; other folders aren't read."""
+        done = self.batches()
+        rows = self.table(name) if done else None
+        return None if rows is None else rows.where(F.col("batch").isin(done))
 
     def _put(self, rows: DataFrame, name: str, batch: int) -> DataFrame:
         path = f"{self.root}/{name}/batch={batch}"
@@ -53,6 +56,7 @@ class Vault:
         they go to containers, with the user of their first arrival (by seq, then
         secret_id).  Invalid paths go.
         """
+        self._drop(f"files/batch={batch}")
         named = catalog.inodes(files)
         chunks = self.cut(named.select("seq", "user_id", "inode_fp", "data"))
         whole = B.pad_zero(F.col("chunk"), B.aligned_size(F.col("secret_size"), self.coding))
@@ -75,16 +79,12 @@ class Vault:
         self._drop(f"encoded/batch={batch}")
 
     def _drop(self, name: str) -> None:
-        from ..sources.tables import delete
-
         delete(self.spark, f"{self.root}/{name}")
 
-    def index(self, before: int | None = None) -> DataFrame | None:
+    def index(self) -> DataFrame | None:
         """Where each share lies; read from the containers' entries, of which no bytes are touched."""
         held = self.committed("containers")
-        if held is None:
-            return None
-        return S.index_of(held if before is None else held.where(F.col("batch") < before))
+        return None if held is None else S.index_of(held)
 
     repair = index  # the entries lie with the bytes, so an index that is lost is read again from the containers
 

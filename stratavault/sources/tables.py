@@ -21,6 +21,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def finished(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below that a job has written to its end."""
+    fs, p = _at(spark, path)
+    if not fs.exists(p):
+        return []
+    names = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
+    return [n for n in names if exists(spark, f"{path}/{n}/_SUCCESS")]
+
+
 def size_of(spark: SparkSession, path: str) -> int:
     """Bytes of a file, or of all files below a folder."""
     fs, p = _at(spark, path)
@@ -61,6 +70,13 @@ def copy(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"{target} can't be put in place")
 
 
+def in_memory(rows: DataFrame, name: str) -> DataFrame:
+    """A table that lives in executors' memory (and on their disks where that is short) under a name that SQL can use."""
+    held = rows.persist()
+    held.createOrReplaceTempView(name)
+    return held
+
+
 class Tiers:
     """A cache folder in front of a backend folder, any two that Spark reads (HDFS, object stores, disks).
 
@@ -189,9 +205,7 @@ class SortedTable:
 
     def repair(self) -> int:
         """A new manifest of every whole segment in the folder, for when the manifests are lost or can't be read."""
-        fs, p = _at(self.spark, self.root)
-        names = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("segment-"))
-        whole = [n for n in names if exists(self.spark, f"{self.root}/{n}/_SUCCESS")]
+        whole = [n for n in finished(self.spark, self.root) if n.startswith("segment-")]
         make_folder(self.spark, f"{self.root}/manifest")
         return self._commit(whole)
 

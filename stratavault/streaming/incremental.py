@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..params import IDLE_SECONDS
+from ..plans.vault import Vault
 
 
 def start_dedup(shares: DataFrame, index_path: str, checkpoint: str):
@@ -27,6 +28,16 @@ def start_dedup(shares: DataFrame, index_path: str, checkpoint: str):
     return shares.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
 
 
+def start_upload(files: DataFrame, vault: Vault, checkpoint: str):
+    """A stream of files (seq, user_id, path, data) into a vault: each micro-batch is one upload, chunked, encoded and packed as it comes.
+
+    How much a micro-batch takes is the source's to say (``maxFilesPerTrigger``,
+    ``maxBytesPerTrigger``), which is what holds a fast writer back.  A batch that is
+    run again has the same number and replaces its own tables.
+    """
+    return files.writeStream.foreachBatch(lambda batch, number: vault.upload(batch, number)).option("checkpointLocation", checkpoint)
+
+
 def idle_sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", idle: int = IDLE_SECONDS) -> DataFrame:
     """Per user the stretches between pauses of ``idle`` seconds or more: when buffers would be flushed."""
     w = W.partitionBy(user).orderBy(ts)

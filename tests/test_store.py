@@ -331,3 +331,71 @@ def test_a_file_may_span_batches(spark, tmp_path):
     ends = batched.groupBy("doc_id").agg(F.max(F.col("past_bytes") + F.col("coming_bytes")).alias("n"))
     want = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.octet_length("text").alias("size"))
     assert ends.join(want, "doc_id").where("n <> size").count() == 0
+
+
+def test_streamed_upload_equals_one_upload(spark, tmp_path):
+    from stratavault.plans.vault import Vault
+    from stratavault.streaming.incremental import start_upload
+
+    rng = np.random.default_rng(8)
+    blocks = [rng.integers(0, 256, 700, dtype=np.uint8).tobytes() for _ in range(4)]
+    files = [(i, i % 2, f"f{i}", blocks[i % 4] + blocks[i % 3]) for i in range(9)]
+    make = lambda rows: spark.createDataFrame([(s, u, p, bytearray(d)) for s, u, p, d in rows], "seq long, user_id int, path string, data binary")
+    src = str(tmp_path / "in")
+    for k in range(3):
+        make(files[3 * k : 3 * k + 3]).coalesce(1).write.mode("append").parquet(src)
+    streamed, whole = Vault(spark, str(tmp_path / "s"), size=128), Vault(spark, str(tmp_path / "w"), size=128)
+    stream = spark.readStream.schema("seq long, user_id int, path string, data binary").option("maxFilesPerTrigger", 1).parquet(src)
+    start_upload(stream, streamed, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(300)
+    whole.upload(make(files), 0)
+    shares = lambda v: {(r["cloud"], r["share_fp"]) for r in v.index().collect()}
+    assert shares(streamed) == shares(whole) and streamed.table("files").select("batch").distinct().count() == 3
+    asked = make(files).select("user_id", "path")
+    got = {}
+    for r in streamed.restore(streamed.request(asked), [0, 2, 3]).orderBy("inode_fp", "secret_id").collect():
+        got[r["inode_fp"]] = got.get(r["inode_fp"], b"") + bytes(r["chunk"])
+    assert sorted(got.values()) == sorted(d for *_, d in files)
+
+
+def test_scratch_folder():
+    from types import SimpleNamespace
+
+    from stratavault.scratch import shared_root
+
+    def session(master: str, folder: str | None):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=context)
+
+    assert shared_root(session("spark://host:7077", "hdfs://x/y")) == "hdfs://x/y"
+    assert shared_root(session("local[4]", None))
+    with pytest.raises(ValueError):  # executors of a cluster would not see a folder of this machine
+        shared_root(session("local-cluster[2,1,1024]", None))
+
+
+def test_entry_without_the_training_data_subpackage(monkeypatch):
+    import builtins
+    import sys
+
+    import __spark_entry__ as entry
+
+    real = builtins.__import__
+
+    def broken(name, *a, **k):
+        if name == "stratavault.llm":
+            raise ImportError("xxhash is missing")
+        return real(name, *a, **k)
+
+    for m in [m for m in sys.modules if m.startswith("stratavault.llm")]:
+        monkeypatch.delitem(sys.modules, m)
+    monkeypatch.setattr(builtins, "__import__", broken)
+    monkeypatch.setattr(entry.importlib.util, "find_spec", lambda name: type("Spec", (), {"origin": "here"})())
+    with pytest.warns(UserWarning, match="xxhash"):
+        assert set(entry.queries()) == set(catalogue.queries())
+
+
+def test_in_memory_table(spark):
+    from stratavault.sources.tables import in_memory
+
+    held = in_memory(spark.range(5), "five")
+    assert spark.sql("select sum(id) as s from five").first()["s"] == 10 and held.is_cached
+    held.unpersist()
