@@ -364,23 +364,25 @@ def near_duplicates(
     at = members.withColumn("component", F.col("cid"))
     turn = 0
     while True:
-        per_bucket = at.groupBy("key", "component").count().groupBy("key").agg(F.sum("count").alias("rows"), ((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))) / 2).alias("pairs"))
-        cross, rows = per_bucket.where("pairs > 0").agg(F.sum("pairs"), F.sum("rows")).first()
+        # of each bucket whose members are in several components: its rows, those of its largest component, pairs apart, and as pivot the row of least hash
+        order = F.struct(F.xxhash64("cid", F.lit(turn)), F.col("cid"), F.col("component"))
+        per = at.groupBy("key", "component").agg(F.count("*").alias("c"), F.min(order).alias("p"))
+        whole, own = F.sum("c"), F.sum(F.col("c") * F.col("c"))
+        buckets = per.groupBy("key").agg(F.min("p").alias("p"), whole.alias("g"), F.max("c").alias("g_top"), F.max_by("component", "c").alias("top"), ((whole * whole - own) / 2).alias("pairs"))
+        buckets = buckets.where("pairs > 0").select("key", "g", "g_top", "top", "pairs", F.col("p.cid").alias("p"), F.col("p.component").alias("pc"))
+        buckets = ws.put(buckets, f"buckets-{turn}")
+        cross, rows = buckets.agg(F.sum("pairs"), F.sum("g")).first()
         if not cross:
             break
         last = cross <= PAIRS_A_ROW * rows or turn >= MOST_STARS
-        # of each bucket whose members are in several components: its rows, and as pivot the one of least hash
-        order = F.struct(F.xxhash64("cid", F.lit(turn)), F.col("cid"), F.col("component"))
-        buckets = at.groupBy("key").agg(F.min(order).alias("p"), F.count("*").alias("g"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        buckets = ws.put(buckets.select("key", "g", F.col("p.cid").alias("p"), F.col("p.component").alias("pc")), f"buckets-{turn}")
         if not last or not turn:
-            pairs = spread_join(at, buckets, "key", "g", "cid").where("component <> pc").select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b")).distinct()
+            pairs = spread_join(at, buckets.select("key", "g", "p", "pc"), "key", "g", "cid").where("component <> pc").select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b")).distinct()
             last = False
         else:
             ends = at.join(buckets.select("key"), "key", "left_semi").select(F.col("cid").alias("doc_id")).distinct()
             own = texts.join(ends, "doc_id").groupBy("doc_id").agg(F.first("text").alias("text"))
             short = ws.put(own.mapInArrow(_short_sets(width), "cid long, short binary"), "short")
-            dealt = in_block_pairs(at, buckets.select("key", "g"), "key", "cid").join(reps, "cid").join(short, "cid").select("run", "side", "t", "cid", "component", "n_shingles", "regs", "short")
+            dealt = in_block_pairs(at, buckets.select("key", "g", "g_top", "top"), "key", "cid", "component").join(reps, "cid").join(short, "cid").select("run", "side", "t", "cid", "component", "n_shingles", "regs", "short")
             runs = dealt.repartition("run").sortWithinPartitions("run")
             pairs = runs.mapInArrow(_across(floor, percent), "a long, b long").distinct()
         fresh = ws.put(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), f"pairs-{turn}")

@@ -30,7 +30,7 @@ def spread_join(rows: DataFrame, per: DataFrame, key: str | list[str], n: str, n
     return left.join(right, [*keys, "__place"]).drop("__place")
 
 
-def in_block_pairs(members: DataFrame, sizes: DataFrame, key: str, node: str) -> DataFrame:
+def in_block_pairs(members: DataFrame, sizes: DataFrame, key: str, node: str, part: str | None = None) -> DataFrame:
     """``members`` (key, node, ...) with ``run`` in place of the key, each row as often as block pairs of its group need it.
 
     ``sizes`` (key, g) has the groups' rows, for groups of two or more.  A group of at
@@ -38,13 +38,24 @@ def in_block_pairs(members: DataFrame, sizes: DataFrame, key: str, node: str) ->
     different blocks meet in one run, rows of one block in the run of that block with
     itself.  Adds ``side``: -1 in runs of one block, else the block (0 or 1) of the
     pair.  A run has at most about 2 * BLOCK rows.
+
+    With ``part`` only rows of different parts need to meet, and ``sizes`` has a group's
+    largest part too (top, and g_top rows).  Its rows then meet the others' blocks, not
+    each other: beside few others they travel about once, however many they are.
     """
-    m = spread_join(members, sizes, key, "g", node).withColumn("__n", F.ceil(F.col("g") / BLOCK).cast("int"))
-    m = m.withColumn("__b", F.pmod(F.xxhash64(node, F.lit(7)), F.col("__n")).cast("int"))
-    m = m.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    m = m.withColumn("run", F.xxhash64(key, F.least("__b", "__o"), F.greatest("__b", "__o")))
-    side = F.when(F.col("__b") == F.col("__o"), -1).otherwise((F.col("__b") > F.col("__o")).cast("int"))
-    return m.withColumn("side", side).drop("g", "__n", "__b", "__o")
+    places = lambda n: F.ceil(n / BLOCK).cast("int")
+    block = lambda n: F.pmod(F.xxhash64(node, F.lit(7)), F.greatest(n, F.lit(1))).cast("int")
+    upto = lambda n, f: F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), f)
+    row = lambda run, side: F.struct(run.alias("run"), side.cast("int").alias("side"))
+    m = spread_join(members, sizes, key, "g", node)
+    top = F.col(part) == F.col("top") if part else F.lit(False)
+    m = m.withColumns({"__m": places(F.col("g_top")) if part else F.lit(0), "__n": places(F.col("g") - F.col("g_top") if part else F.col("g")), "__t": top})
+    m = m.withColumn("__b", F.when(F.col("__t"), block(F.col("__m"))).otherwise(block(F.col("__n"))))
+    with_top = upto(F.col("__n"), lambda o: row(F.xxhash64(F.col(key), F.lit(1), F.col("__b"), o), F.lit(0)))
+    across = upto(F.col("__m"), lambda o: row(F.xxhash64(F.col(key), F.lit(1), o, F.col("__b")), F.lit(1)))
+    within = upto(F.col("__n"), lambda o: row(F.xxhash64(F.col(key), F.lit(0), F.least("__b", o), F.greatest("__b", o)), F.when(F.col("__b") == o, -1).otherwise((F.col("__b") > o).cast("int"))))
+    m = m.withColumn("__r", F.explode(F.when(F.col("__t"), with_top).otherwise(F.concat(within, across))))
+    return m.select(*[c for c in m.columns if not c.startswith("__") and c not in ("g", "g_top", "top")], "__r.run", "__r.side")
 
 
 def each_run(batches: Iterator[pa.RecordBatch], column: str, work: Callable[[pa.Table], list[tuple]]) -> Iterator[list[tuple]]:
