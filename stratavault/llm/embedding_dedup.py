@@ -14,6 +14,7 @@ from .runs import each_run, in_block_pairs, spread_join
 from .workspace import Workspace
 
 MISS = 1e-4  # chance that a pair just at the threshold meets in no table
+TOGETHER = 512  # rows of small buckets that are multiplied together
 WIDTH = 7.0  # of a quantisation step, in distances of a pair just at the threshold
 
 
@@ -95,30 +96,28 @@ def near_vectors(spark: SparkSession, table: DataFrame, ws: Workspace, vec_id: s
                     yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(np.tile(np.arange(tables, dtype=np.int32), part.num_rows)), pa.array(keys.ravel())], names=["cid", "t", "key"])
 
         def compared(batches: Iterator[pa.RecordBatch], keys_of=keys_of, dim=dim) -> Iterator[pa.RecordBatch]:
-            def work(run: pa.Table) -> list[tuple]:
-                cid, w, side = run.column("cid").to_numpy(), run.column("w").to_numpy(), run.column("side").to_numpy()
-                x = _matrix(run.column("x"), dim)
-                near = x @ x.T >= cosine
+            def work(part: pa.Table) -> list[tuple]:
+                cid, w, side, run, table = (part.column(c).to_numpy() for c in ("cid", "w", "side", "run", "t"))
+                x = _matrix(part.column("x"), dim)
+                near = (x @ x.T >= cosine) & (run[:, None] == run[None, :])
                 np.fill_diagonal(near, False)
-                if side[0] != -1:
-                    near &= side[:, None] != side[None, :]
+                near &= (side[:, None] != side[None, :]) | (side[:, None] == -1)
                 some = np.flatnonzero(near.any(1))
                 if not len(some):
                     return []
-                near, cid, w = near[np.ix_(some, some)], cid[some], w[some]
+                near, cid, w, table = near[np.ix_(some, some)], cid[some], w[some], table[some]
                 label = cid.copy()
                 while True:
                     low = np.minimum(label, np.where(near, label[None, :], np.iinfo(np.int64).max).min(1))
                     if (low == label).all():
                         break
                     label = low
-                table = int(run.column("t")[0].as_py())
-                keys = keys_of(x[some])[:, :table]
-                for s in range(table):
-                    near &= keys[:, s][:, None] != keys[:, s][None, :]
+                keys = keys_of(x[some])
+                for s in range(int(table.max())):  # a pair counts in the first table in which it meets
+                    near &= (keys[:, s][:, None] != keys[:, s][None, :]) | (table <= s)[:, None]
                 return list(zip(cid.tolist(), (near @ w).tolist(), label.tolist(), strict=True))
 
-            for rows in each_run(batches, "run", work):
+            for rows in each_run(batches, "run", work, TOGETHER):
                 if rows:
                     a, b, c = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=["cid", "links", "label"])

@@ -58,23 +58,26 @@ def in_block_pairs(members: DataFrame, sizes: DataFrame, key: str, node: str, pa
     return m.select(*[c for c in m.columns if not c.startswith("__") and c not in ("g", "g_top", "top")], "__r.run", "__r.side")
 
 
-def each_run(batches: Iterator[pa.RecordBatch], column: str, work: Callable[[pa.Table], list[tuple]]) -> Iterator[list[tuple]]:
-    """Calls ``work`` for the rows of each run; the batches are sorted by ``column``.
+def each_run(batches: Iterator[pa.RecordBatch], column: str, work: Callable[[pa.Table], list[tuple]], rows: int = 1) -> Iterator[list[tuple]]:
+    """Calls ``work`` for the rows of each run, or of several whole runs that have ``rows`` rows together; the batches are sorted by ``column``.
 
-    Only one run and one batch are in memory.
+    Only what goes to ``work`` at a time and one batch are in memory.
     """
     held: list[pa.RecordBatch] = []
+    count = 0
     for batch in batches:
         keys = batch.column(column).to_numpy(zero_copy_only=False)
         if not len(keys):
             continue
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        if held and held[-1].column(column)[-1].as_py() != keys[0]:
-            yield work(pa.Table.from_batches(held))
-            held = []
-        for a, b in zip(cuts[:-2], cuts[1:-1], strict=True):
-            yield work(pa.Table.from_batches([*held, batch.slice(a, b - a)]))
-            held = []
-        held.append(batch.slice(cuts[-2]))
+        ends = (np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()
+        if not held or held[-1].column(column)[-1].as_py() != keys[0]:
+            ends = [0, *ends]  # a run ended with the batch before
+        at = 0
+        for end in ends:
+            if count + end - at >= rows and (held or end > at):
+                yield work(pa.Table.from_batches([*held, *([batch.slice(at, end - at)] if end > at else [])]))
+                held, count, at = [], 0, end
+        held.append(batch.slice(at))
+        count += batch.num_rows - at
     if held:
         yield work(pa.Table.from_batches(held))

@@ -79,3 +79,18 @@ def test_block_pairs_cover_every_pair_once(spark, monkeypatch, with_parts):
         tops = {r["key"]: r["top"] for r in per.collect()}
         inside = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] == b[2] == tops[a[0]]}
         assert not inside & set(met)
+
+
+@pytest.mark.parametrize("rows", [1, 4, 1000])
+def test_runs_come_whole(rows):
+    rng = random.Random(rows)
+    keys = sorted(rng.randrange(40) for _ in range(200))
+    batches, at = [], 0
+    while at < len(keys):
+        n = rng.randrange(0, 9)
+        batches.append(pa.RecordBatch.from_pydict({"run": pa.array(keys[at : at + n], pa.int64())}))
+        at += n
+    seen = list(runs.each_run(iter(batches), "run", lambda t: t.column("run").to_pylist(), rows))
+    assert [k for s in seen for k in s] == keys
+    assert len({k for s in seen for k in set(s)}) == sum(len(set(s)) for s in seen), "no run is cut"
+    assert all(len(s) >= rows for s in seen[:-1]) and (rows > 1 or all(len(set(s)) == 1 for s in seen))
