@@ -54,16 +54,13 @@ def test_spread_joins_as_plain_ones(spark):
     assert hot.groupBy("place").count().agg(F.max("count")).first()[0] < 2 * runs.FEW
 
 
-@pytest.mark.parametrize("with_parts", [False, True])
-def test_block_pairs_cover_every_pair_once(spark, monkeypatch, with_parts):
+def test_block_pairs_cover_every_pair_once(spark, monkeypatch):
     monkeypatch.setattr(runs, "BLOCK", 8)
     rng = random.Random(3)
     rows = [(key, 100 * key + i, 0 if rng.random() < share else 1 + rng.randrange(3)) for key, n, share in ((1, 70, 0.9), (2, 5, 0.5), (3, 30, 0.1), (4, 2, 0.0)) for i in range(n)]
     df = spark.createDataFrame(rows, "key long, node long, part long")
-    per = df.groupBy("key", "part").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("g"), F.max("c").alias("g_top"), F.max_by("part", "c").alias("top"))
-    # the largest part is decided once, as a written table would
-    per = spark.createDataFrame([tuple(r) for r in per.collect()], per.schema)
-    dealt = runs.in_block_pairs(df, per if with_parts else per.select("key", "g"), "key", "node", "part" if with_parts else None)
+    per = df.groupBy("key").agg(F.count("*").alias("g"))
+    dealt = runs.in_block_pairs(df, per, "key", "node")
     assert set(dealt.columns) == {"key", "node", "part", "run", "side"}
     by: dict = {}
     for r in dealt.collect():
@@ -73,12 +70,7 @@ def test_block_pairs_cover_every_pair_once(spark, monkeypatch, with_parts):
         assert len({r["key"] for r in run}) == 1 and len(run) <= 40
         met += [(a["node"], b["node"]) for a in run for b in run if a["node"] < b["node"] and (a["side"] == -1 or a["side"] != b["side"])]
     assert len(met) == len(set(met))
-    want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and (not with_parts or a[2] != b[2])}
-    assert want <= set(met) and (with_parts or want == set(met))
-    if with_parts:
-        tops = {r["key"]: r["top"] for r in per.collect()}
-        inside = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] == b[2] == tops[a[0]]}
-        assert not inside & set(met)
+    assert set(met) == {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1]}
 
 
 @pytest.mark.parametrize("rows", [1, 4, 1000])
