@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import binary as B
-from ..params import BUFFER_BYTES, Coding
+from ..params import Coding
 from . import codec
 
 CONTAINER = T.StructType([
@@ -33,40 +34,46 @@ def verified(shares: DataFrame) -> DataFrame:
     return shares.withColumn("ok", F.coalesce(B.fingerprint(F.col("share")) == F.col("share_fp"), F.lit(False)))
 
 
-def pack_containers(shares: DataFrame, limit: int = BUFFER_BYTES, order: tuple[str, ...] = ("seq", "secret_id")) -> DataFrame:
-    """Containers of each cloud and user: shares one behind another, closed before one would pass ``limit`` bytes.
+def pack_containers(placed: DataFrame, coding: Coding | None = None) -> DataFrame:
+    """Containers of each cloud and user from secrets with their places: (user_id, container_no, offset, chunk) to (cloud, user_id, container_no, entries, data).
 
-    Rows are (cloud, user_id, container_no, entries, data); ``entries`` says which
-    share begins where, so that the index can always be made anew.  Shares stream
-    through in order and one open container is in memory.
+    All shares of a secret have one size, so a place is the same in every cloud.
+    ``entries`` says which share begins where, so that the index can always be made
+    anew.  Secrets travel as they are and are encoded beside their place; the n
+    containers of one number come one behind another, and only these are in memory.
     """
-    rows = shares.select("cloud", F.col("user_id").cast("int").alias("user_id"), *order, "share_fp", "share")
-    at = rows.columns.index("share_fp")
+    coding = coding or Coding()
+    rows = placed.select(F.col("user_id").cast("int").alias("user_id"), "container_no", "offset", "chunk")
+    ordered = rows.repartition("user_id", "container_no").sortWithinPartitions("user_id", "container_no", "offset")
+    coded = codec.encode(ordered, coding).select("user_id", "container_no", "offset", "shares")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owner, number, entries, parts, used = None, 0, [], [], 0
+        owner, offsets, held = None, [], []
 
         def closed() -> pa.RecordBatch:
-            row = {"cloud": owner[0], "user_id": owner[1], "container_no": number, "entries": entries, "data": b"".join(parts)}
-            return pa.RecordBatch.from_pylist([row], schema=kinds)
+            sizes = [len(x[0]) for x in held]
+            one = pa.StructArray.from_arrays([pa.array([hashlib.sha256(x[cloud]).hexdigest() for cloud in range(coding.n) for x in held], pa.string()), pa.array(offsets * coding.n, pa.int64()), pa.array(sizes * coding.n, pa.int64())], fields=list(kinds.field("entries").type.value_type))
+            ends = pa.array(range(0, len(one) + 1, len(held)), pa.int32())
+            entries = pa.ListArray.from_arrays(ends, one, type=kinds.field("entries").type)
+            cols = [pa.array(range(coding.n), pa.int32()), pa.array([owner[0]] * coding.n, pa.int32()), pa.array([owner[1]] * coding.n, pa.int64()), entries, pa.array([b"".join(x[cloud] for x in held) for cloud in range(coding.n)], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, schema=kinds)
 
         for batch in batches:
-            for cloud, user, fp, share in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(at).to_pylist(), batch.column(at + 1).to_pylist(), strict=True):
-                if entries and ((cloud, user) != owner or used + len(share) > limit):
+            for user, number, offset, shares in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if held and (user, number) != owner:
                     yield closed()
-                    number = number + 1 if (cloud, user) == owner else 0
-                    entries, parts, used = [], [], 0
-                owner = (cloud, user)
-                entries.append({"share_fp": fp, "offset": used, "share_size": len(share)})
-                parts.append(share)
-                used += len(share)
-        if entries:
+                    offsets, held = [], []
+                owner = (user, number)
+                if not offsets or offset != offsets[-1]:  # rows that repeat a file bring its secrets again
+                    offsets.append(offset)
+                    held.append(shares)
+        if held:
             yield closed()
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kinds = to_arrow_schema(CONTAINER)
-    return rows.repartition("cloud", "user_id").sortWithinPartitions("cloud", "user_id", *order).mapInArrow(fold, CONTAINER)
+    return coded.mapInArrow(fold, CONTAINER)
 
 
 def index_of(containers: DataFrame) -> DataFrame:
@@ -89,6 +96,72 @@ def fetch(wanted: DataFrame, containers: DataFrame) -> DataFrame:
     return held.select("cloud", F.explode(cut).alias("e")).select("cloud", "e.share_fp", "e.share")
 
 
+def zip_containers(containers: DataFrame, coding: Coding | None = None) -> DataFrame:
+    """(fp, secret): the zero-padded secrets of containers, from the shares of the first k clouds that have them whole; secrets that can't be rebuilt are left out.
+
+    A share counts if its bytes have the fingerprint of its entry.  Containers of one
+    number lie one behind another as ``pack_containers`` makes them; where some don't
+    (they were written anew, or one is lost), they are brought together first.
+    """
+    coding = coding or Coding()
+    keys = [c for c in ("batch", "user_id", "container_no") if c in containers.columns]
+    rows = containers.select(*keys, "cloud", "entries", "data")
+    n, k = len(keys), coding.k
+    apart = containers.select(*keys, "cloud").mapInArrow(_apart(n, k), "n long").agg(F.sum("n")).first()[0]
+    together = not apart
+    if not together:
+        rows = rows.repartition(*keys).sortWithinPartitions(*keys, "cloud")
+    schema = "share_ids array<int>, kept array<binary>, secret_size long"
+
+    def zipped(group: list[tuple]) -> Iterator[tuple[list[int], list[bytes]]]:
+        found: dict[int, tuple[list[int], list[bytes]]] = {}
+        for cloud, entries, data in sorted(group, key=lambda x: x[0]):
+            for fp, at, size in zip(*(entries.field(i).to_pylist() for i in range(3)), strict=True):
+                ids, shares = found.setdefault(at, ([], []))
+                if len(ids) < k and cloud not in ids and hashlib.sha256(x := data[at : at + size]).hexdigest() == fp:
+                    ids.append(cloud)
+                    shares.append(x)
+        return (x for x in found.values() if len(x[0]) == k)
+
+    def out(group: list[tuple]) -> pa.RecordBatch:
+        if together and len({x[0] for x in group}) < k:
+            raise RuntimeError("containers of one number were not read together")
+        ids, shares = zip(*found, strict=True) if (found := list(zipped(group))) else ((), ())
+        sizes = [len(x[0]) * (k - coding.r) if coding.codec == "crsss" else len(x[0]) * k - coding.word for x in shares]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.binary())), pa.array(sizes, pa.int64())], names=["share_ids", "kept", "secret_size"])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group = None, []
+        for batch in batches:
+            for i, key in enumerate(zip(*(batch.column(j).to_pylist() for j in range(n)), strict=True)):
+                if group and key != now:
+                    yield out(group)
+                    group = []
+                now = key
+                group.append((batch.column(n)[i].as_py(), batch.column(n + 1)[i].values, batch.column(n + 2)[i].as_py()))
+        if group:
+            yield out(group)
+
+    back = codec.decode(rows.mapInArrow(fold, schema), coding).where("intact")
+    return back.select(F.unhex(B.fingerprint(F.col("secret"))).alias("fp"), "secret")
+
+
+def _apart(n: int, k: int):
+    """Counts the groups of adjacent rows with equal first ``n`` columns that have fewer than ``k`` clouds."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, clouds, apart = None, set(), 0
+        for batch in batches:
+            for *key, cloud in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    apart += now is not None and len(clouds) < k
+                    now, clouds = key, set()
+                clouds.add(cloud)
+        yield pa.RecordBatch.from_arrays([pa.array([apart + (now is not None and len(clouds) < k)], pa.int64())], names=["n"])
+
+    return count
+
+
 def zip_clouds(rows: DataFrame, by: list[str], coding: Coding | None = None) -> DataFrame:
     """Secrets from the shares of k clouds: ``rows`` (by..., secret_id, secret_size, cloud, share) to (by..., secret_id, secret, intact).
 

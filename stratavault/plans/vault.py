@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import binary as B
-from ..operators import catalog, chunking, shares as S
+from ..operators import catalog, chunking, dedup, shares as S
 from ..params import BUFFER_BYTES, Chunking, Coding
+from ..scratch import settle
 from ..sources.tables import delete, exists, finished
 
 
+#: Turns in which an upload writes its users' containers, and bytes that a file of these holds at most, so that it is one row group.
+TURNS, FILE_BYTES = 4, 32 << 20
+
+
 class Vault:
     """Tables under ``root`` (any folder that all executors see), each written a batch at a time:
 
-    containers (cloud, user_id, container_no, entries, data), secrets (fp, shares), recipes
-    (inode_fp, version, cloud, secret_id, secret_size, share_fp, user_id), inodes (inode_fp, user_id,
-    full_path, ...), files (inode_fp, version, seq, file_size).  A batch is a folder
-    ``batch=N``, replaced as a whole if it is uploaded again, and counts once its line
-    in ``files``, which is written last, is there.
+    containers (cloud, user_id, container_no, entries, data), secrets (fp, user_id, container_no,
+    offset, ...: the place is the same in each cloud), lists (inode_fp, user_id, seq, secret_id,
+    secret_size, fp, version), inodes (inode_fp, user_id, full_path, ...), files (inode_fp,
+    version, seq, file_size).  A batch is a folder ``batch=N``, replaced as a whole if it is
+    uploaded again, and counts once its line in ``files``, which is written last, is
+    there.  ``recipes`` are read from lists, secrets and containers' entries.
     """
 
     def __init__(self, spark: SparkSession, root: str, coding: Coding | None = None, size: int | None = None, variable: Chunking | None = None, container_bytes: int = BUFFER_BYTES):
@@ -36,13 +42,16 @@ class Vault:
 
     def committed(self, name: str) -> DataFrame | None:
         """The table's rows of finished batches; other folders aren't read."""
+        if name == "recipes":
+            return self.recipes()
         done = self.batches()
         rows = self.table(name) if done else None
         return None if rows is None else rows.where(F.col("batch").isin(done))
 
-    def _put(self, rows: DataFrame, name: str, batch: int) -> DataFrame:
+    def _put(self, rows: DataFrame, name: str, batch: int, mode: str = "overwrite", at_most: int = 0) -> DataFrame:
+        """``at_most``: rows of a file, if not 0."""
         path = f"{self.root}/{name}/batch={batch}"
-        rows.write.mode("overwrite").parquet(path)
+        rows.write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", at_most).parquet(path)
         return self.spark.read.parquet(path)
 
     def cut(self, files: DataFrame) -> DataFrame:
@@ -52,7 +61,7 @@ class Vault:
         """Files (seq, user_id, path, data) become the versions ``batch`` of their inodes.
 
         Dedup goes by the fingerprint of the zero-padded secret, which decides all its
-        shares: only secrets that no batch has had are encoded, each once, and only
+        shares: only secrets that no other batch has are encoded, each once, and only
         they go to containers, with the user of their first arrival (by seq, then
         secret_id).  Invalid paths go.
         """
@@ -61,22 +70,25 @@ class Vault:
         chunks = self.cut(named.select("seq", "user_id", "inode_fp", "data"))
         whole = B.pad_zero(F.col("chunk"), B.aligned_size(F.col("secret_size"), self.coding))
         chunks = chunks.withColumn("fp", B.fingerprint(whole))
-        meta = self._put(chunks.drop("chunk"), "incoming", batch)
+        meta = self._put(chunks.select("inode_fp", "user_id", "seq", "secret_id", "secret_size", "fp", F.lit(batch).alias("version")), "lists", batch)
         known = self.committed("secrets")
-        known = None if known is None else known.where(F.col("batch") < batch).drop("batch")
-        fresh = meta.select("fp").distinct()
-        fresh = fresh if known is None else fresh.join(known, "fp", "left_anti")
-        first = chunks.join(fresh, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("seq", "secret_id", "user_id", "secret_size")).alias("x"), F.first("chunk").alias("chunk"))
-        encoded = self._put(S.cloud_shares(first.select("fp", "x.*", "chunk"), self.coding), "encoded", batch)
-        self._put(S.pack_containers(encoded, self.container_bytes), "containers", batch)
-        new = self._put(encoded.groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("cloud", "share_fp", "share_size"))).alias("shares")), "secrets", batch)
-        every = new if known is None else known.unionByName(new)
-        recipe = meta.join(every, "fp").select("inode_fp", "user_id", "secret_id", "secret_size", F.explode("shares").alias("s")).select("inode_fp", "user_id", "secret_id", "secret_size", "s.*", F.lit(batch).alias("version"))
-        self._put(recipe, "recipes", batch)
+        first = meta.groupBy("fp").agg(F.min(F.struct("seq", "secret_id", "user_id", "secret_size")).alias("x")).select("fp", "x.*")
+        fresh = first if known is None else first.join(known.where(F.col("batch") != batch), "fp", "left_anti")
+        sized = fresh.withColumn("share_size", B.share_size(F.col("secret_size"), self.coding))
+        placed = dedup.upload_batches(sized, ["user_id"], self.container_bytes, order=["seq", "secret_id"]).withColumnRenamed("batch", "container_no")
+        new = self._put(placed, "secrets", batch)
+        places = new.select(F.unhex("fp").alias("fp"), "seq", "secret_id", "user_id", "container_no", "offset")
+        # a container is its user's, so users can be taken in turns, of which each frees what it has moved
+        of_turn = lambda turn: F.pmod(F.hash("user_id"), F.lit(TURNS)) == turn
+        per_file = self.coding.n * max(1, FILE_BYTES // (self.coding.n * self.container_bytes))
+        for turn in range(TURNS):
+            settle(self.spark)
+            chunks = self.cut(named.where(of_turn(turn)).select("seq", "data")).withColumn("fp", F.unhex(B.fingerprint(whole)))
+            held = chunks.join(places.where(of_turn(turn)), ["fp", "seq", "secret_id"])
+            self._put(S.pack_containers(held, self.coding), "containers", batch, "append" if turn else "overwrite", per_file)
         self._put(named.select("inode_fp", "dir_fp", "user_id", "full_path", "dir", "name").distinct(), "inodes", batch)
         self._put(named.select("inode_fp", "seq", F.octet_length("data").cast("long").alias("file_size"), F.lit(batch).alias("version")), "files", batch)
-        self._drop(f"incoming/batch={batch}")
-        self._drop(f"encoded/batch={batch}")
+        settle(self.spark)
 
     def _drop(self, name: str) -> None:
         delete(self.spark, f"{self.root}/{name}")
@@ -88,6 +100,16 @@ class Vault:
 
     repair = index  # the entries lie with the bytes, so an index that is lost is read again from the containers
 
+    def recipes(self) -> DataFrame | None:
+        """(inode_fp, user_id, version, secret_id, secret_size, cloud, share_fp, share_size, batch): every file's shares in each cloud, a row each."""
+        lists, secrets = self.committed("lists"), self.committed("secrets")
+        if lists is None:
+            return None
+        at = ["batch", "user_id", "container_no", "offset"]
+        index, places = self.index(), secrets.select("fp", *[F.col(c).alias(f"__{c}") for c in at])
+        shares = places.join(index, [index[c].eqNullSafe(places[f"__{c}"]) for c in at]).select("fp", "cloud", "share_fp", "share_size")
+        return lists.join(shares, "fp").drop("fp", "seq")
+
     def refs(self) -> DataFrame:
         """(cloud, share_fp, user_id, ref_cnt) over all recipes; counts only grow."""
         return self.committed("recipes").groupBy("cloud", "share_fp", "user_id").agg(F.count("*").alias("ref_cnt"))
@@ -117,14 +139,20 @@ class Vault:
         """(inode_fp, secret_id, chunk) of files (inode_fp, version), in order within a partition, from any k clouds.
 
         Shares whose bytes no longer have their fingerprint count as lost, as do those
-        of clouds that aren't asked; a file of which a secret can't be rebuilt is left out.
+        of clouds that aren't asked.  Containers are zipped and decoded where they are read,
+        and a secret serves if its own fingerprint is the list's; a file of which a secret can't be rebuilt is left out.
         """
-        rows = S.verified(self.shares_of(wanted, clouds)).withColumn("share", F.when(F.col("ok"), F.col("share")))
-        secrets = S.zip_clouds(rows, ["inode_fp"], self.coding)
-        recipe = self.committed("recipes").join(wanted.select("inode_fp", "version").distinct(), ["inode_fp", "version"], "left_semi").select("inode_fp", "secret_id").distinct()
-        whole = recipe.join(secrets.select("inode_fp", "secret_id", F.when(F.col("intact"), F.col("secret")).alias("chunk")), ["inode_fp", "secret_id"], "left")
-        broken = whole.where("chunk is null").select("inode_fp").distinct()
-        return whole.join(broken, "inode_fp", "left_anti").repartition("inode_fp").sortWithinPartitions("inode_fp", "secret_id")
+        held = self.committed("containers")
+        held = held if clouds is None else held.where(F.col("cloud").isin(clouds))
+        secrets = S.zip_containers(held, self.coding)
+        lists = self.committed("lists").join(wanted.select("inode_fp", "version").distinct(), ["inode_fp", "version"], "left_semi")
+        asked = lists.select(F.unhex("inode_fp").alias("inode"), "secret_id", "secret_size", F.unhex("fp").alias("fp"))
+        asked = asked.repartition("fp").distinct()  # dealt as the join wants it
+        found = asked.join(secrets, "fp", "left").select("inode", "secret_id", F.substring(F.col("secret"), F.lit(1), F.col("secret_size")).alias("chunk"))
+        ordered = found.repartition("inode").sortWithinPartitions("inode", "secret_id")
+        every = W.partitionBy("inode").orderBy("secret_id").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        whole = ordered.withColumn("__broken", F.max(F.col("chunk").isNull()).over(every)).where(~F.col("__broken"))
+        return whole.select(F.lower(F.hex("inode")).alias("inode_fp"), "secret_id", "chunk")
 
     def verify(self) -> DataFrame:
         """(cloud, n_shares, n_bad) over all stored bytes."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -27,3 +29,11 @@ def shared_root(spark: SparkSession) -> str:
 def folder(spark: SparkSession, label: str) -> str:
     """A new folder's name there."""
     return f"{shared_root(spark)}/stratavault/{label}-{uuid.uuid4().hex}"
+
+
+def settle(spark: SparkSession) -> None:
+    """Lets Spark's cleaner free the shuffle files of steps that are over."""
+    for _ in range(2):  # what the first pass lets go of, the cleaner sees after the second
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)

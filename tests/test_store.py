@@ -399,3 +399,56 @@ def test_in_memory_table(spark):
     held = in_memory(spark.range(5), "five")
     assert spark.sql("select sum(id) as s from five").first()["s"] == 10 and held.is_cached
     held.unpersist()
+
+
+def _uploaded(spark, at, files, batches=1, **options):
+    from stratavault.plans.vault import Vault
+
+    vault = Vault(spark, str(at), **({"size": 256} | options))
+    make = lambda rows: spark.createDataFrame([(s, u, p, bytearray(d)) for s, u, p, d in rows], "seq long, user_id int, path string, data binary")
+    for k in range(batches):
+        vault.upload(make(files[k::batches]), k)
+    return vault, make
+
+
+def test_vault_keeps_each_share_and_its_fingerprint_once(spark, tmp_path):
+    from stratavault.sources.tables import size_of
+
+    rng = np.random.default_rng(5)
+    files = [(i, i % 3, f"f{i}", rng.integers(0, 256, 40_000, dtype=np.uint8).tobytes()) for i in range(12)]
+    vault, _ = _uploaded(spark, tmp_path / "v", files)
+    # four shares are 1.5 times a secret of 256 bytes and their fingerprints half of it; lists and places come on top
+    assert size_of(spark, vault.root) < 2.6 * sum(len(d) for *_, d in files)
+
+
+def test_containers_are_zipped_where_they_are_read(spark, tmp_path):
+    from stratavault.operators import shares as S
+
+    rng = np.random.default_rng(6)
+    block = rng.integers(0, 256, 9000, dtype=np.uint8).tobytes()
+    # a row that comes twice, a file whose number another user's has too, one of zeros, and one that ends in them
+    files = [(0, 1, "a", block), (0, 1, "a", block), (0, 2, "a", block[:300] + block[600:]), (3, 2, "z", bytes(700)), (4, -1, "n", block[::-1] + bytes(5))]
+    vault, make = _uploaded(spark, tmp_path / "v", files, container_bytes=1000)
+    held = vault.committed("containers").where("cloud > 0")
+    zipped = S.zip_containers(held, vault.coding)
+    assert "Exchange" not in zipped._jdf.queryExecution().toString()
+    want = {bytes(r["fp"]) for r in zipped.collect()}
+    assert zipped.count() == len(want) == vault.committed("secrets").count()
+    assert {bytes(r["fp"]) for r in S.zip_containers(held.repartition(7, F.rand(1)), vault.coding).collect()} == want  # in any order
+    assert S.zip_containers(held.where("cloud > 1"), vault.coding).count() == 0
+    found = vault.committed("files").select("inode_fp", "version").distinct()
+    got = {}
+    for r in vault.restore(found, [1, 2, 3]).orderBy("inode_fp", "secret_id").collect():
+        got[r["inode_fp"]] = got.get(r["inode_fp"], b"") + bytes(r["chunk"])
+    assert sorted(got.values()) == sorted({d for *_, d in files})
+
+
+def test_restore_after_an_earlier_batch_is_uploaded_again(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    blocks = [rng.integers(0, 256, 1000, dtype=np.uint8).tobytes() for _ in range(3)]
+    vault, make = _uploaded(spark, tmp_path / "v", [(0, 1, "a", blocks[0]), (1, 1, "b", blocks[1])], 2)
+    again = [(0, 1, "a", blocks[0]), (2, 1, "c", blocks[1] + blocks[2])]
+    vault.upload(make(again), 0)
+    assert vault.committed("secrets").groupBy("fp").count().where("count > 1").count() == 0
+    rows = vault.restore(vault.request(make(again).select("user_id", "path"))).orderBy("inode_fp", "secret_id").collect()
+    assert sorted(len(b"".join(bytes(r["chunk"]) for r in rows if r["inode_fp"] == f)) for f in {r["inode_fp"] for r in rows}) == [1000, 2000]
