@@ -467,3 +467,16 @@ def test_container_names_beyond_two_letters_follow_the_sql(spark, tmp_path):
     name = re.search(r"('aaaaaaaaaa'.*) as container from r$", catalogue.oracle_sql()["container_packing"], re.S)[1]
     want = duckdb.sql(f"select batch, {name} from (select unnest(range(683)) as batch)").fetchall()
     assert sorted(tuple(r) for r in got) == sorted(want) and len(want) == len(got)
+
+
+def test_all_clouds_of_a_container_lie_in_one_file(spark, tmp_path):
+    rng = np.random.default_rng(10)
+    files = [(i, i % 5, f"f{i}", rng.integers(0, 256, 6000, dtype=np.uint8).tobytes()) for i in range(10)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few bytes are one file's anyway
+    try:
+        vault, _ = _uploaded(spark, tmp_path / "v", files, container_bytes=1000)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    held = vault.committed("containers").select("user_id", "container_no", "cloud", F.input_file_name().alias("file"), F.octet_length("data").alias("size"))
+    each = held.groupBy("user_id", "container_no").agg(F.countDistinct("file"), F.countDistinct("cloud"), F.countDistinct("size"))
+    assert {tuple(r)[2:] for r in each.collect()} == {(1, 4, 1)}
