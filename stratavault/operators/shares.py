@@ -14,7 +14,8 @@ from . import codec
 
 CONTAINER = T.StructType([
     T.StructField("cloud", T.IntegerType()), T.StructField("user_id", T.IntegerType()), T.StructField("container_no", T.LongType()),
-    T.StructField("entries", T.ArrayType(T.StructType([T.StructField("share_fp", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("share_size", T.LongType())]))),
+    T.StructField("first_seq", T.LongType()), T.StructField("last_seq", T.LongType()),
+    T.StructField("entries", T.ArrayType(T.StructType([T.StructField("share_fp", T.BinaryType()), T.StructField("offset", T.LongType()), T.StructField("share_size", T.LongType())]))),
     T.StructField("data", T.BinaryType()),
 ])
 
@@ -35,38 +36,39 @@ def verified(shares: DataFrame) -> DataFrame:
 
 
 def pack_containers(placed: DataFrame, coding: Coding | None = None) -> DataFrame:
-    """Containers of each cloud and user from secrets with their places: (user_id, container_no, offset, chunk) to (cloud, user_id, container_no, entries, data).
+    """Containers of each cloud and user from secrets with their places: (user_id, container_no, offset, seq, chunk) to (cloud, user_id, container_no, first_seq, last_seq, entries, data).
 
     All shares of a secret have one size, so a place is the same in every cloud.
     ``entries`` says which share begins where, so that the index can always be made
-    anew.  Secrets travel as they are and are encoded beside their place; the n
+    anew; fingerprints in it are binary, and ``first_seq`` and ``last_seq`` tell which files' secrets lie there.  Secrets travel as they are and are encoded beside their place; the n
     containers of one number come one behind another, and only these are in memory.
     """
     coding = coding or Coding()
-    rows = placed.select(F.col("user_id").cast("int").alias("user_id"), "container_no", "offset", "chunk")
+    rows = placed.select(F.col("user_id").cast("int").alias("user_id"), "container_no", "offset", F.col("seq").cast("long").alias("seq"), "chunk")
     ordered = rows.repartition("user_id", "container_no").sortWithinPartitions("user_id", "container_no", "offset")
-    coded = codec.encode(ordered, coding).select("user_id", "container_no", "offset", "shares")
+    coded = codec.encode(ordered, coding).select("user_id", "container_no", "offset", "seq", "shares")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owner, offsets, held = None, [], []
+        owner, offsets, held, seqs = None, [], [], []
 
         def closed() -> pa.RecordBatch:
             sizes = [len(x[0]) for x in held]
-            one = pa.StructArray.from_arrays([pa.array([hashlib.sha256(x[cloud]).hexdigest() for cloud in range(coding.n) for x in held], pa.string()), pa.array(offsets * coding.n, pa.int64()), pa.array(sizes * coding.n, pa.int64())], fields=list(kinds.field("entries").type.value_type))
+            one = pa.StructArray.from_arrays([pa.array([hashlib.sha256(x[cloud]).digest() for cloud in range(coding.n) for x in held], pa.binary()), pa.array(offsets * coding.n, pa.int64()), pa.array(sizes * coding.n, pa.int64())], fields=list(kinds.field("entries").type.value_type))
             ends = pa.array(range(0, len(one) + 1, len(held)), pa.int32())
             entries = pa.ListArray.from_arrays(ends, one, type=kinds.field("entries").type)
-            cols = [pa.array(range(coding.n), pa.int32()), pa.array([owner[0]] * coding.n, pa.int32()), pa.array([owner[1]] * coding.n, pa.int64()), entries, pa.array([b"".join(x[cloud] for x in held) for cloud in range(coding.n)], pa.binary())]
+            cols = [pa.array(range(coding.n), pa.int32()), pa.array([owner[0]] * coding.n, pa.int32()), pa.array([owner[1]] * coding.n, pa.int64()), pa.array([min(seqs)] * coding.n, pa.int64()), pa.array([max(seqs)] * coding.n, pa.int64()), entries, pa.array([b"".join(x[cloud] for x in held) for cloud in range(coding.n)], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, schema=kinds)
 
         for batch in batches:
-            for user, number, offset, shares in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for user, number, offset, seq, shares in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if held and (user, number) != owner:
                     yield closed()
-                    offsets, held = [], []
+                    offsets, held, seqs = [], [], []
                 owner = (user, number)
                 if not offsets or offset != offsets[-1]:  # rows that repeat a file bring its secrets again
                     offsets.append(offset)
                     held.append(shares)
+                    seqs.append(seq)
         if held:
             yield closed()
 
@@ -78,8 +80,8 @@ def pack_containers(placed: DataFrame, coding: Coding | None = None) -> DataFram
 
 def index_of(containers: DataFrame) -> DataFrame:
     """(cloud, share_fp, user_id, container_no, offset, share_size): where each share lies, read without the containers' bytes."""
-    own = [c for c in containers.columns if c not in ("entries", "data")]
-    return containers.select(*own, F.explode("entries").alias("e")).select(*own, "e.*")
+    own = [c for c in containers.columns if c not in ("first_seq", "last_seq", "entries", "data")]
+    return containers.select(*own, F.explode("entries").alias("e")).select(*own, F.lower(F.hex("e.share_fp")).alias("share_fp"), "e.offset", "e.share_size")
 
 
 def fetch(wanted: DataFrame, containers: DataFrame) -> DataFrame:
@@ -101,11 +103,13 @@ def zip_containers(containers: DataFrame, coding: Coding | None = None) -> DataF
 
     A share counts if its bytes have the fingerprint of its entry.  Containers of one
     number lie one behind another as ``pack_containers`` makes them; where some don't
-    (they were written anew, or one is lost), they are brought together first.
+    (they were written anew, or one is lost), they are brought together first.  Where
+    ``containers`` has ``slots``, only the secrets at these offsets are rebuilt.
     """
     coding = coding or Coding()
     keys = [c for c in ("batch", "user_id", "container_no") if c in containers.columns]
-    rows = containers.select(*keys, "cloud", "entries", "data")
+    some = "slots" in containers.columns
+    rows = containers.select(*keys, "cloud", "entries", "data", *["slots"] * some)
     n, k = len(keys), coding.k
     apart = containers.select(*keys, "cloud").mapInArrow(_apart(n, k), "n long").agg(F.sum("n")).first()[0]
     together = not apart
@@ -115,10 +119,12 @@ def zip_containers(containers: DataFrame, coding: Coding | None = None) -> DataF
 
     def zipped(group: list[tuple]) -> Iterator[tuple[list[int], list[bytes]]]:
         found: dict[int, tuple[list[int], list[bytes]]] = {}
-        for cloud, entries, data in sorted(group, key=lambda x: x[0]):
+        for cloud, entries, data, slots in sorted(group, key=lambda x: x[0]):
             for fp, at, size in zip(*(entries.field(i).to_pylist() for i in range(3)), strict=True):
+                if slots is not None and at not in slots:
+                    continue
                 ids, shares = found.setdefault(at, ([], []))
-                if len(ids) < k and cloud not in ids and hashlib.sha256(x := data[at : at + size]).hexdigest() == fp:
+                if len(ids) < k and cloud not in ids and hashlib.sha256(x := data[at : at + size]).digest() == fp:
                     ids.append(cloud)
                     shares.append(x)
         return (x for x in found.values() if len(x[0]) == k)
@@ -138,7 +144,7 @@ def zip_containers(containers: DataFrame, coding: Coding | None = None) -> DataF
                     yield out(group)
                     group = []
                 now = key
-                group.append((batch.column(n)[i].as_py(), batch.column(n + 1)[i].values, batch.column(n + 2)[i].as_py()))
+                group.append((batch.column(n)[i].as_py(), batch.column(n + 1)[i].values, batch.column(n + 2)[i].as_py(), set(batch.column(n + 3)[i].as_py()) if some else None))
         if group:
             yield out(group)
 

@@ -480,3 +480,29 @@ def test_all_clouds_of_a_container_lie_in_one_file(spark, tmp_path):
     held = vault.committed("containers").select("user_id", "container_no", "cloud", F.input_file_name().alias("file"), F.octet_length("data").alias("size"))
     each = held.groupBy("user_id", "container_no").agg(F.countDistinct("file"), F.countDistinct("cloud"), F.countDistinct("size"))
     assert {tuple(r)[2:] for r in each.collect()} == {(1, 4, 1)}
+
+
+def test_restore_in_turns_moves_a_part_at_a_time(spark, tmp_path):
+    from stratavault.operators import catalog
+
+    rng = np.random.default_rng(11)
+    block = lambda n: rng.integers(0, 256, n, dtype=np.uint8).tobytes()
+    common = [block(2560) for _ in range(3)]
+    # files share blocks with files far from them, one is a copy, one of zeros, one comes twice, and one user has most
+    files = [(i, 0 if i % 3 else 1, f"f{i}", common[i % 3] + block(20_000 + 13 * i)) for i in range(30)]
+    files += [(30, 1, "copy", files[2][3]), (31, 1, "zeros", bytes(5000)), (32, 0, "twice", files[5][3]), (32, 0, "twice", files[5][3])]
+    vault, make = _uploaded(spark, tmp_path / "v", files, 2, container_bytes=3000)
+    found = vault.committed("files").select("inode_fp", "version").distinct()
+    known = {x.stageId() for x in _stages(spark)}
+    got = vault.restore_into(lambda chunks: catalog.digests(chunks, "inode_fp"), found, [1, 2, 3], turn_bytes=200_000)
+    assert sorted(r["sha256"] for r in got.collect()) == sorted([hashlib.sha256(d).hexdigest() for *_, d in files[:-1]])
+    most = max(x.shuffleWriteBytes() for x in _stages(spark) if x.stageId() not in known)
+    assert most < 0.6 * sum(len(d) for *_, d in files)  # restore moves all of them at once
+
+
+def _stages(spark):
+    """Stages that Spark still knows, newest first."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    jvm = spark.sparkContext._jvm
+    rows = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return [rows.apply(i) for i in range(rows.size())]
